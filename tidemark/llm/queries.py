@@ -8,6 +8,19 @@ from . import common
 from .tokens import default_path
 
 
+def op4_poisson_mixing(spark, sf_dir):
+    from .mixing import mix
+
+    out = mix(common.table(spark, sf_dir, "documents"), temperature=0.5, seed=7)
+    return out.select("doc_id", "source", "repetitions", "copy", "mix_order", "n_chars", "text")
+
+
+def op5_min_max_hash(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op6_token_files(spark, sf_dir):
     from .token_files import token_files
 
@@ -15,6 +28,12 @@ def op6_token_files(spark, sf_dir):
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_kd_tree_top_k(spark, sf_dir):
+    from .topk import top_k
+
+    return top_k(common.table(spark, sf_dir, "embeddings"), query_filter="vec_id % 20 = 0", k=20, scale=64)
+
+
 def op10_best_fit_packing(spark, sf_dir):
     from .packing import pack
 
@@ -27,4 +46,7 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from .mixing import mix_sql
+    from .topk import top_k_sql
+
+    return {"op4_poisson_mixing": mix_sql(columns="doc_id, source, repetitions, copy, mix_order, n_chars, text"), "op7_kd_tree_top_k": top_k_sql(k=20, scale=64, every=20)}

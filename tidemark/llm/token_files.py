@@ -195,6 +195,7 @@ def token_files(docs: DataFrame, *, tokenizer: str, end_id: int = 2, **options)
     manifest = work.keep(write_token_files(docs, f"{work.path}/files", tokenizer=tokenizer, end_id=end_id, **options), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = manifest.select("shard", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    files = work.keep(base.repartition("shard"), "base")
-    found = read_token_files(files.repartition("shard"))
+    files = work.keep(base, "base")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = read_token_files(files.repartition(tasks, "shard"))
     return found.join(files.select("shard", "base"), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
