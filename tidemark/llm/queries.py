@@ -8,6 +8,13 @@ from . import common
 from .tokens import default_path
 
 
+def op3_media_columns(spark, sf_dir):
+    from .media import media_columns
+
+    out = media_columns(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "offset", "length", "width", "height", "bit_depth")
+
+
 def op4_poisson_mixing(spark, sf_dir):
     from .mixing import mix
 
@@ -34,6 +41,12 @@ def op7_kd_tree_top_k(spark, sf_dir):
     return top_k(common.table(spark, sf_dir, "embeddings"), query_filter="vec_id % 20 = 0", k=20, scale=64)
 
 
+def op9_diagonal_voting(spark, sf_dir):
+    from .license_scan import scan
+
+    return scan(common.table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     from .packing import pack
 
