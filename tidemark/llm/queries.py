@@ -41,6 +41,12 @@ def op7_kd_tree_top_k(spark, sf_dir):
     return top_k(common.table(spark, sf_dir, "embeddings"), query_filter="vec_id % 20 = 0", k=20, scale=64)
 
 
+def op8_random_field_pii(spark, sf_dir):
+    from .pii import digest, find
+
+    return digest(find(common.table(spark, sf_dir, "documents")))
+
+
 def op9_diagonal_voting(spark, sf_dir):
     from .license_scan import scan
 
