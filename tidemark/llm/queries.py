@@ -8,6 +8,14 @@ from . import common
 from .tokens import default_path
 
 
+def op2_string_kernel_toxicity(spark, sf_dir):
+    from .toxicity import held_out, score, train
+
+    docs = common.table(spark, sf_dir, "documents")
+    model = train(docs, common.table(spark, sf_dir, "labels"), sample=2500)
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_media_columns(spark, sf_dir):
     from .media import media_columns
 
