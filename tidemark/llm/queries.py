@@ -8,6 +8,12 @@ from . import common
 from .tokens import default_path
 
 
+def op1_prefix_free_parsing(spark, sf_dir):
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(common.table(spark, sf_dir, "documents"), length=200)
+
+
 def op2_string_kernel_toxicity(spark, sf_dir):
     from .toxicity import held_out, score, train
 
