@@ -4,7 +4,8 @@ Every permutation of the shingles yields two signature values, the minimum and t
 hash evaluations give a signature of the same length. Bands of it name candidate buckets. Texts with one
 shingle set form a class, and only classes are compared: first every member of a bucket with the bucket's
 busiest member, then, where a bucket still holds several components, each member outside the hub's
-component with all members of other components. Each such pair is confirmed on the two full sets.
+component with the members of other components, less those that their own shingles rule out. Each such
+pair is confirmed on the two full sets.
 """
 
 from __future__ import annotations
@@ -96,6 +97,20 @@ def _fit(a, b, percent: int):
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
+def _shareable(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`open_` with s, the number of shingles that any other class in an open bucket has too.
+
+    No intersection is larger than the smaller s of two classes. Classes whose own shingles alone rule out
+    every link are left out; that is exact, and it is what keeps a large group of loose copies of one text
+    from being compared pair by pair.
+    """
+    items = sets.join(open_.select("cls").distinct(), "cls").select("cls", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count("*").alias("c"), F.first("cls").alias("cls")).filter("c = 1")
+    own = alone.groupBy("cls").agg(F.count("*").alias("own"))
+    counted = open_.join(own, "cls", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return counted.filter(F.lit(100) * F.col("s") >= F.lit(percent) * F.col("n"))
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutations: int = 48, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id).
 
@@ -137,10 +152,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
     placed = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("label", "cls").alias("label"))
     placed = work.keep(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    open_ = work.keep(placed.join(mixed, "key").join(hubs.select("key", "hub"), "key"), "open")
+    open_ = placed.join(mixed, "key").join(hubs.select("key", "hub"), "key")
+    open_ = work.keep(_shareable(open_, sets, percent), "open")
     main = open_.filter("cls = hub").select("key", F.col("label").alias("main"))
-    minor = open_.join(main, "key").filter("label != main").select("key", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-    cross = open_.join(minor, "key").filter((F.col("label") != F.col("l2")) & _fit(F.col("n"), F.col("n2"), percent))
+    minor = open_.join(main, "key", "left").filter("main is null or label != main").select("key", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("label").alias("l2"))
+    enough = F.lit(100 + percent) * F.least("s", "s2") >= F.lit(percent) * (F.col("n") + F.col("n2"))
+    cross = open_.join(minor, "key").filter((F.col("label") != F.col("l2")) & enough)
     second = confirmed(cross.select(F.least("cls", "c2").alias("a"), F.greatest("cls", "c2").alias("b")).distinct(), "more-links")
 
     ends = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
