@@ -37,7 +37,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def to_png(payload: bytes, level: int = 1) -> bytes:
+def to_png(payload: bytes, level: int = 6) -> bytes:
     """Rows without prediction (filter 0), so the samples are the payload's bytes as they are."""
     rows = np.zeros((len(payload) // ROW, ROW + 1), np.uint8)
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
@@ -77,7 +77,7 @@ def feature(payload: bytes) -> str:
     return ":".join(map(str, [*mean, *var, step]))
 
 
-def write_shards(docs: DataFrame, folder: str, *, level: int = 1) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, *, level: int = 6) -> DataFrame:
     """doc_id, n_bytes, digest, shard, offset, length of every document; running the plan writes the shards."""
 
     def run(batches):
@@ -146,7 +146,7 @@ def read_members(index: DataFrame) -> DataFrame:
     return index.select("digest", "shard", "offset", "length").mapInArrow(run, READ)
 
 
-def media_columns(docs: DataFrame, *, level: int = 1) -> DataFrame:
+def media_columns(docs: DataFrame, *, level: int = 6) -> DataFrame:
     """doc_id, n_bytes, digest, shard, offset, length and, read back: width, height, bit_depth, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
