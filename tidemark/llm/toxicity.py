@@ -74,77 +74,82 @@ def _own(n: int) -> float:
 
 
 class Landmarks:
-    """Words with which kernels are taken, as tables by letter."""
+    """Words with which kernels are taken.
+
+    A match of letters at the places i of a unit and j of a landmark stands for the decays of its
+    subsequence by decay^-(i + j) where the subsequence begins and by decay^(i + j) where it ends, so that
+    nothing decays in between. The state of a unit holds, by place of a landmark, the weights of the
+    subsequences of one, two and three letters that end there. A letter changes the state linearly: its
+    tables sum what ends before each of its places.
+    """
 
     def __init__(self, marks: list[str]):
         self.marks = marks
-        letters = sorted({c for m in marks for c in "^" + m})
-        self.code = {c: i + 1 for i, c in enumerate(letters)}
-        width = max(len(m) for m in marks) + 1
-        grid = np.zeros((len(marks), width), np.int64)
-        for k, m in enumerate(marks):
-            grid[k, : len(m) + 1] = [self.code[c] for c in "^" + m]
-        self.match = np.stack([(grid == c) & (grid > 0) for c in range(len(letters) + 1)]).astype(np.float32) * np.float32(DECAY**2)
-        self.first = self._spread(self.match)
+        self.width = max(len(m) for m in marks) + 1
         self.scale = np.array([_own(len(m) + 1) for m in marks], np.float32)
-
-    @staticmethod
-    def _spread(x: np.ndarray) -> np.ndarray:
-        """Running sums along the landmark with the decay for every letter passed."""
-        out = np.empty_like(x)
-        run = np.zeros_like(x[..., 0])
-        for j in range(x.shape[-1]):
-            run = run * np.float32(DECAY) + x[..., j]
-            out[..., j] = run
-        return out
-
-    def kernels(self, units: list[str]) -> np.ndarray:
+        places: dict[str, list[tuple[int, int]]] = {}
+        for k, m in enumerate(marks):
+            for j, c in enumerate("^" + m):
+                places.setdefault(c, []).append((j, k))
+        self.code = {c: i + 1 for i, c in enumerate(sorted(places))}
+        self.tables = [self._tables(places[c]) for c in sorted(places)]
+
+    def _tables(self, places: list[tuple[int, int]]):
+        """Columns of the state, the sums before them, the weights of beginnings there and of ends by landmark."""
+        n = len(self.marks)
+        columns = np.array([j * n + k for j, k in places])
+        before, ends = np.zeros((self.width * n, len(places)), np.float32), np.zeros((len(places), n), np.float32)
+        for at, (j, k) in enumerate(places):
+            before[[i * n + k for i in range(j)], at] = 1
+            ends[at, k] = DECAY**j
+        return columns, before, np.array([DECAY**-j for j, _ in places], np.float32), ends
+
+    def kernels(self, units: list[str], part: int = 8192) -> np.ndarray:
         """Units by landmarks. Units are sorted, so that those with a common beginning share its work."""
-        order = sorted(range(len(units)), key=units.__getitem__)
+        points = np.array(["^" + u.replace("\0", "\1") for u in units] or ["^"], dtype=np.str_)
+        order = np.argsort(points, kind="stable")
+        points = points.view(np.uint32).reshape(len(points), -1)
+        lengths = np.array([len(u) + 1 for u in units], np.int64)
         out = np.zeros((len(units), len(self.marks)), np.float32)
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
-            out[part] = self._part(["^" + units[i] for i in part])
+        for at in range(0, len(units), part):
+            some = order[at : at + part]
+            out[some] = self._part(points[some], lengths[some])
         return out
 
-    def _part(self, units: list[str]) -> np.ndarray:
-        levels: list[list[tuple[int, int]]] = [[] for _ in range(LONGEST + 2)]
-        path, before, ends = [0] * (LONGEST + 3), "", []
-        for u in units:
-            same = 0
-            for a, b in zip(u, before, strict=False):
-                if a != b:
-                    break
-                same += 1
-            for d in range(same, len(u)):
-                levels[d].append((path[d], self.code.get(u[d], 0)))
-                path[d + 1] = len(levels[d]) - 1
-            ends.append((len(u), path[len(u)]))
-            before = u
-        m, width = len(self.marks), self.match.shape[2]
-        s1 = s2 = s3 = np.zeros((1, m, width), np.float32)
-        k3 = k4 = np.zeros((1, m), np.float32)
-        found: list[np.ndarray] = [np.zeros((1, m), np.float32)]
-        lam = np.float32(DECAY)
-        for level in levels:
-            if not level:
-                break
-            parent, letter = np.array(level).T
-            s1, s2, s3, k3, k4 = s1[parent], s2[parent], s3[parent], k3[parent], k4[parent]
-            hit = np.flatnonzero(letter)
-            match = self.match[letter[hit]][:, :, 1:]
-            low1, low2, low3 = s1[hit, :, :-1], s2[hit, :, :-1], s3[hit, :, :-1]
-            k3[hit] += (match * low2).sum(2)
-            k4[hit] += (match * low3).sum(2)
-            up2, up3 = self._spread(match * low1), self._spread(match * low2)
-            s1, s2, s3 = s1 * lam, s2 * lam, s3 * lam
-            s1[hit] += self.first[letter[hit]]
-            s2[hit, :, 1:] += up2
-            s3[hit, :, 1:] += up3
-            found.append(k3 / np.float32(DECAY**6) + k4 / np.float32(DECAY**8))
-        own = np.array([_own(n) for n, _ in ends], np.float32)
-        alike = np.stack([found[n][k] for n, k in ends]) / own[:, None] / self.scale[None, :]
-        return np.minimum(alike, np.float32(1)) ** POWER
+    def _part(self, points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """points: sorted units, by code points. A beginning is the node of the first unit that has it."""
+        rows, longest = len(points), int(lengths.max())
+        letters = np.zeros(points.shape, np.int64)
+        for c, k in self.code.items():
+            letters[points == ord(c)] = k
+        fresh = np.ones((rows, longest), bool)
+        fresh[1:] = np.logical_or.accumulate(points[1:, :longest] != points[:-1, :longest], axis=1)
+        n, size = len(self.marks), self.width * len(self.marks)
+        one, two, three = (np.zeros((1, size), np.float32) for _ in range(3))
+        total, node = np.zeros((1, n), np.float32), np.zeros(rows, np.int64)
+        out = np.zeros((rows, n), np.float32)
+        for i in range(longest):
+            live = lengths > i
+            first = np.flatnonzero(fresh[:, i] & live)
+            first = first[np.argsort(letters[first, i], kind="stable")]
+            parent, letter = node[first], letters[first, i]
+            one, two, three, total = one[parent], two[parent], three[parent], total[parent]
+            edge = np.searchsorted(letter, np.arange(len(self.tables) + 2))
+            for c in np.flatnonzero(np.diff(edge[1:])).tolist():
+                columns, sums, begins, last = self.tables[c]
+                a, b = edge[c + 1], edge[c + 2]
+                pairs, triples, fours = one[a:b] @ sums, two[a:b] @ sums, three[a:b] @ sums
+                one[a:b, columns] += begins * np.float32(DECAY**-i)
+                two[a:b, columns] += pairs
+                three[a:b, columns] += triples
+                total[a:b] += (triples * np.float32(DECAY ** (i - 4)) + fours * np.float32(DECAY ** (i - 6))) @ last
+            place = np.zeros(rows, np.int64)
+            place[first] = np.arange(len(first))
+            node = place[np.maximum.accumulate(np.where(fresh[:, i] & live, np.arange(rows), 0))]
+            ended = np.flatnonzero(lengths == i + 1)
+            out[ended] = total[node[ended]]
+        own = np.array([_own(k) for k in range(longest + 1)], np.float32)[lengths]
+        return np.minimum(out / own[:, None] / self.scale[None, :], np.float32(1)) ** POWER
 
 
 @dataclass
