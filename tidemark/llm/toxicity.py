@@ -168,9 +168,9 @@ class Model:
 
 
 class Scorer:
-    """Margins of words, remembered in two generations of at most `limit` words."""
+    """Margins of words, remembered in two generations of about `limit` words; one for each task, so that workers keep nothing."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 150_000):
         self.model, self.limit, self.now, self.old = model, limit, {}, {}
 
     def margins(self, texts: list[str]) -> np.ndarray:
@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None) -> Da
     def run(batches):
         import pyarrow as pa
 
-        scorer = _scorer(shared)
+        scorer = Scorer(shared.value)
         for batch in batches:
             texts, out = batch.column(1).to_pylist(), []
             at, size = 0, 0
@@ -328,15 +328,3 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None) -> Da
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)])
     return asked.mapInArrow(run, "doc_id long, score double, predicted int" + extra)
-
-
-_kept: dict[int, Scorer] = {}
-
-
-def _scorer(shared) -> Scorer:
-    """One scorer for each Python worker and model, kept between tasks."""
-    key = hash((shared.value.bias, shared.value.slope, shared.value.shift, tuple(shared.value.marks.marks)))
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Scorer(shared.value)
-    return _kept[key]
