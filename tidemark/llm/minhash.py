@@ -111,12 +111,13 @@ def _shareable(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.lit(100) * F.col("s") >= F.lit(percent) * F.col("n"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutations: int = 48, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutations: int = 48, rows: int = 4, small: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id).
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; links are
     confirmed on full sets, and candidates come from 2 * permutations / rows bands: at the similarity 0.8
-    a pair shares none of 24 bands of 4 values with a probability of 4e-6.
+    a pair shares none of 24 bands of 4 values with a probability of 4e-6. The ids whose texts are read
+    again are broadcast if there are at most `small`; more of them meet the texts in a shuffle.
 
     Null and empty texts, and texts without words, have no shingles, stand alone and are kept. Rows of
     equal id are documents of their own, each linked by its text; a null id stays null and is never the
@@ -130,7 +131,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     member = work.keep(banded.join(shared, "key"), "members")
 
-    wanted = member.select("doc_id").distinct().select(F.col("doc_id").alias("w"))
+    wanted = work.keep(member.select("doc_id").distinct().select(F.col("doc_id").alias("w")), "wanted")
+    if wanted.count() <= small:
+        wanted = F.broadcast(wanted)
     sources = common.texts(docs)
     sets = full_sets(sources.join(wanted, sources["doc_id"].eqNullSafe(wanted["w"]), "left_semi"), shingle=shingle)
     sets = work.keep(sets, "sets")
