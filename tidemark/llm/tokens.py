@@ -51,7 +51,7 @@ class Encoder(dict):
     bounded by two generations and frequent words stay.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         super().__init__()
