@@ -4,8 +4,8 @@ Every permutation of the shingles yields two signature values, the minimum and t
 hash evaluations give a signature of the same length. Bands of it name candidate buckets. Texts with one
 shingle set form a class, and only classes are compared: first every member of a bucket with the bucket's
 busiest member, then, where a bucket still holds several components, each member outside the hub's
-component with the members of other components, less those that their own shingles rule out. Each such
-pair is confirmed on the two full sets.
+component with the members of other components. Bitmaps of the sets bound every intersection from above
+and rule most loose pairs out without a loss; each pair left is confirmed on the two full sets.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from . import common, graph
 from .words import WHITE, Words, mix, text_batches
 
-SIGNED = "doc_id long, n_shingles long, cls binary, bands array<long>"
+SIGNED = "doc_id long, n_shingles long, cls binary, bands array<long>, marks array<long>"
+MARKS = 16
 SETS = "cls binary, items array<long>"
 
 
@@ -39,42 +40,71 @@ def class_key(items: np.ndarray) -> bytes:
 
 
 def band_hashes(sets: list[np.ndarray], permutations: int, rows: int) -> np.ndarray:
-    """One row a set: the hashes of the bands of its min-max signature (2 * permutations values)."""
+    """One row a set: the hashes of the bands of its min-max signature (2 * permutations values).
+
+    All minima stand before all maxima, so the values of a band come from different permutations.
+    """
     rng = np.random.default_rng(20240229)
     flip, odd = rng.integers(0, 1 << 63, permutations, np.uint64), rng.integers(0, 1 << 63, permutations, np.uint64) | np.uint64(1)
-    items, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
-    values = np.empty((len(sets), 2 * permutations), np.uint64)
-    for k in range(permutations):
-        v = (items ^ flip[k]) * odd[k]
-        values[:, 2 * k], values[:, 2 * k + 1] = np.minimum.reduceat(v, at), np.maximum.reduceat(v, at)
     bands = 2 * permutations // rows
     out = np.empty((len(sets), bands), np.uint64)
-    for b in range(bands):
-        h = np.full(len(sets), b + 1, np.uint64)
+    for first, last in _groups([len(s) for s in sets]):
+        items, at = np.concatenate(sets[first:last]), np.cumsum([0, *map(len, sets[first:last])])[:-1]
+        values, v = np.empty((2 * permutations, last - first), np.uint64), np.empty_like(items)
+        for k in range(permutations):
+            np.multiply(np.bitwise_xor(items, flip[k], out=v), odd[k], out=v)
+            np.minimum.reduceat(v, at, out=values[k])
+            np.maximum.reduceat(v, at, out=values[permutations + k])
+        rest = values[: bands * rows].reshape(bands, rows, -1)
+        h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64)[:, None], (bands, last - first))
         for r in range(rows):
-            h = mix(h * np.uint64(3) + values[:, b * rows + r])
-        out[:, b] = h
+            h = mix(h * np.uint64(3) + rest[:, r])
+        out[first:last] = h.T
     return out.view(np.int64)
 
 
-def sign(docs: DataFrame, *, shingle: int, permutations: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, cls (a digest of the shingle set, null without words) and bands of every document."""
+def _groups(sizes: list[int], most_items: int = 1 << 15, most_sets: int = 1 << 11):
+    """Runs (from, to) of sets with few items together, or a single set."""
+    first, items = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and (items + n > most_items or i - first == most_sets):
+            yield first, i
+            first, items = i, 0
+        items += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def marks(items: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 * MARKS bits with the bit of every item set."""
+    bits = np.zeros(64 * MARKS, bool)
+    bits[(items >> np.uint64(20)) % np.uint64(64 * MARKS)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def sign(docs: DataFrame, *, shingle: int, percent: int, permutations: int, rows: int) -> DataFrame:
+    """doc_id, n_shingles, cls (a digest of the shingle set, null without words), bands and marks of every document.
+
+    Sets too small to be similar to any other set have no bands.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
+        kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
         for batch in batches:
             for a, b, texts in text_batches(batch.column(1)):
-                sizes, keys, bands, sets, places = np.zeros(b - a, np.int64), [None] * (b - a), [None] * (b - a), [], []
+                sizes, keys, bands, bits, sets, places = np.zeros(b - a, np.int64), [None] * (b - a), [None] * (b - a), [None] * (b - a), [], []
                 for i, items in _sets(texts, shingle):
                     sizes[i], keys[i] = len(items), class_key(items)
-                    sets.append(items)
-                    places.append(i)
+                    if len(items) * (100 - percent) >= percent:
+                        bits[i] = marks(items)
+                        sets.append(items)
+                        places.append(i)
                 if sets:
                     for i, row in zip(places, band_hashes(sets, permutations, rows), strict=True):
                         bands[i] = row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=kind)
 
     return common.texts(docs).mapInArrow(run, SIGNED)
 
@@ -92,44 +122,38 @@ def full_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
     return common.texts(docs).mapInArrow(run, SETS)
 
 
-def _fit(a, b, percent: int):
-    """Two set sizes that can still reach the similarity."""
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-
-
-def _shareable(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """`open_` with s, the number of shingles that any other class in an open bucket has too.
+def _can_link(n, m, n2, m2, percent: int):
+    """Whether two sets (sizes n and n2, marks m and m2) can reach the similarity; never false for those that do.
 
-    No intersection is larger than the smaller s of two classes. Classes whose own shingles alone rule out
-    every link are left out; that is exact, and it is what keeps a large group of loose copies of one text
-    from being compared pair by pair.
+    A bit that only one of the two has stands for at least one shingle that the other lacks.
     """
-    items = sets.join(open_.select("cls").distinct(), "cls").select("cls", F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.count("*").alias("c"), F.first("cls").alias("cls")).filter("c = 1")
-    own = alone.groupBy("cls").agg(F.count("*").alias("own"))
-    counted = open_.join(own, "cls", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    return counted.filter(F.lit(100) * F.col("s") >= F.lit(percent) * F.col("n"))
+    alone, alone2 = F.lit(0), F.lit(0)
+    for i in range(MARKS):
+        alone = alone + F.bit_count(m[i].bitwiseAND(F.bitwise_not(m2[i])))
+        alone2 = alone2 + F.bit_count(m2[i].bitwiseAND(F.bitwise_not(m[i])))
+    return F.lit(100 + percent) * F.least(n - alone, n2 - alone2) >= F.lit(percent) * (n + n2)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutations: int = 48, rows: int = 4, small: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutations: int = 256, rows: int = 8, small: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id).
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; links are
-    confirmed on full sets, and candidates come from 2 * permutations / rows bands: at the similarity 0.8
-    a pair shares none of 24 bands of 4 values with a probability of 4e-6. The ids whose texts are read
-    again are broadcast if there are at most `small`; more of them meet the texts in a shuffle.
+    confirmed on full sets, and candidates come from 2 * permutations / rows bands: of 64 bands of 8 values
+    a pair shares none with a probability of 8e-6 at the similarity 0.8, and one with 0.04 at 0.4. The ids
+    whose texts are read again are broadcast if there are at most `small`; more of them meet the texts in a shuffle.
 
     Null and empty texts, and texts without words, have no shingles, stand alone and are kept. Rows of
     equal id are documents of their own, each linked by its text; a null id stays null and is never the
     smallest id of others. An empty table gives no rows.
     """
     work = common.Workspace(docs.sparkSession, "near-duplicates")
-    signed = work.keep(sign(docs, shingle=shingle, permutations=permutations, rows=rows), "signed")
-    named = signed.filter(F.col("cls").isNotNull())
-    classes = named.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    banded = classes.select("cls", "n", "doc_id", F.explode("bands").alias("key"))
+    signed = work.keep(sign(docs, shingle=shingle, percent=percent, permutations=permutations, rows=rows), "signed")
+    classes = signed.filter("bands is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    classes = work.keep(classes, "classes")
+    banded = classes.select("cls", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    member = work.keep(banded.join(shared, "key"), "members")
+    found = banded.join(shared, "key")
+    member = work.keep(found.join(classes.select("cls", "doc_id", "n", "marks"), "cls"), "members")
 
     wanted = work.keep(member.select("doc_id").distinct().select(F.col("doc_id").alias("w")), "wanted")
     if wanted.count() <= small:
@@ -146,21 +170,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
         return work.keep(both.filter(100 * F.col("common") >= percent * union).select("a", "b"), name)
 
     busy = member.groupBy("cls").agg(F.sum("size").alias("score"))
-    hubs = member.join(busy, "cls").groupBy("key").agg(F.max(F.struct("score", "cls", "n")).alias("hub")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"))
+    hubs = member.join(busy, "cls").groupBy("key").agg(F.max(F.struct("score", "cls", "n", "marks")).alias("hub")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.marks").alias("hub_marks"))
     hubs = work.keep(hubs, "hubs")
-    stars = member.join(hubs, "key").filter((F.col("cls") != F.col("hub")) & _fit(F.col("n"), F.col("hub_n"), percent))
+    stars = member.join(hubs, "key").filter((F.col("cls") != F.col("hub")) & _can_link(F.col("n"), F.col("marks"), F.col("hub_n"), F.col("hub_marks"), percent))
     first = confirmed(stars.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "links")
 
     labels = work.keep(graph.components(first, work), "labels")
-    placed = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("label", "cls").alias("label"))
+    placed = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "marks", F.coalesce("label", "cls").alias("label"))
     placed = work.keep(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    open_ = placed.join(mixed, "key").join(hubs.select("key", "hub"), "key")
-    open_ = work.keep(_shareable(open_, sets, percent), "open")
+    open_ = work.keep(placed.join(mixed, "key").join(hubs.select("key", "hub"), "key"), "open")
     main = open_.filter("cls = hub").select("key", F.col("label").alias("main"))
-    minor = open_.join(main, "key", "left").filter("main is null or label != main").select("key", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("label").alias("l2"))
-    enough = F.lit(100 + percent) * F.least("s", "s2") >= F.lit(percent) * (F.col("n") + F.col("n2"))
-    cross = open_.join(minor, "key").filter((F.col("label") != F.col("l2")) & enough)
+    minor = open_.join(main, "key").filter("label != main").select("key", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("marks").alias("m2"), F.col("label").alias("l2"))
+    apart = (F.col("label") != F.col("l2")) & ((F.col("label") == F.col("main")) | (F.col("cls") < F.col("c2")))
+    cross = open_.join(main, "key").join(minor, "key").filter(apart & (F.col("cls") != F.col("hub")) & _can_link(F.col("n"), F.col("marks"), F.col("n2"), F.col("m2"), percent))
     second = confirmed(cross.select(F.least("cls", "c2").alias("a"), F.greatest("cls", "c2").alias("b")).distinct(), "more-links")
 
     ends = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
