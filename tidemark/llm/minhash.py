@@ -93,7 +93,7 @@ def sign(docs: DataFrame, *, shingle: int, percent: int, permutations: int, rows
 
         kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
         for batch in batches:
-            for a, b, texts in text_batches(batch.column(1)):
+            for a, b, texts in text_batches(batch.column(1), 1 << 20):
                 sizes, keys, bands, bits, sets, places = np.zeros(b - a, np.int64), [None] * (b - a), [None] * (b - a), [None] * (b - a), [], []
                 for i, items in _sets(texts, shingle):
                     sizes[i], keys[i] = len(items), class_key(items)
@@ -122,16 +122,21 @@ def full_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
     return common.texts(docs).mapInArrow(run, SETS)
 
 
-def _can_link(n, m, n2, m2, percent: int):
-    """Whether two sets (sizes n and n2, marks m and m2) can reach the similarity; never false for those that do.
+BITS = [f"m{i}" for i in range(MARKS)]
 
-    A bit that only one of the two has stands for at least one shingle that the other lacks.
+
+def _can_link(other: str, percent: int):
+    """Whether two sets can reach the similarity; never false for those that do.
+
+    Of each set come the size n, the marks m0, m1, ... and `spare`, the size less the marks that are set;
+    the second set's names begin with `other`. A mark that only one of the two has stands for at least
+    one shingle that the other lacks, so the marks of both and the smaller `spare` bound the intersection.
+    Short expressions over flat columns: the join's condition stays a method that the JVM compiles.
     """
-    alone, alone2 = F.lit(0), F.lit(0)
-    for i in range(MARKS):
-        alone = alone + F.bit_count(m[i].bitwiseAND(F.bitwise_not(m2[i])))
-        alone2 = alone2 + F.bit_count(m2[i].bitwiseAND(F.bitwise_not(m[i])))
-    return F.lit(100 + percent) * F.least(n - alone, n2 - alone2) >= F.lit(percent) * (n + n2)
+    both = sum((F.bit_count(F.col(b).bitwiseAND(F.col(other + b))) for b in BITS), F.lit(0))
+    n, n2 = F.col("n"), F.col(other + "n")
+    fit = F.lit(100) * F.least(n, n2) >= F.lit(percent) * F.greatest(n, n2)
+    return fit & (F.lit(100 + percent) * (both + F.least(F.col("spare"), F.col(other + "spare"))) >= F.lit(percent) * (n + n2))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutations: int = 256, rows: int = 8, small: int = 2_000_000) -> DataFrame:
@@ -153,7 +158,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
     banded = classes.select("cls", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     found = banded.join(shared, "key")
-    member = work.keep(found.join(classes.select("cls", "doc_id", "n", "marks"), "cls"), "members")
+    member = work.keep(found.join(classes.select("cls", "doc_id", "n", F.expr("n - aggregate(marks, 0L, (s, m) -> s + bit_count(m))").alias("spare"), *(F.col("marks")[i].alias(b) for i, b in enumerate(BITS))), "cls"), "members")
 
     wanted = work.keep(member.select("doc_id").distinct().select(F.col("doc_id").alias("w")), "wanted")
     if wanted.count() <= small:
@@ -169,21 +174,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
         union = F.size("x") + F.size("y") - F.col("common")
         return work.keep(both.filter(100 * F.col("common") >= percent * union).select("a", "b"), name)
 
+    shape = ["n", "spare", *BITS]
     busy = member.groupBy("cls").agg(F.sum("size").alias("score"))
-    hubs = member.join(busy, "cls").groupBy("key").agg(F.max(F.struct("score", "cls", "n", "marks")).alias("hub")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.marks").alias("hub_marks"))
+    hubs = member.join(busy, "cls").groupBy("key").agg(F.max(F.struct("score", "cls", *shape)).alias("hub")).select("key", F.col("hub.cls").alias("hub"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in shape))
     hubs = work.keep(hubs, "hubs")
-    stars = member.join(hubs, "key").filter((F.col("cls") != F.col("hub")) & _can_link(F.col("n"), F.col("marks"), F.col("hub_n"), F.col("hub_marks"), percent))
+    stars = member.join(hubs, "key").filter((F.col("cls") != F.col("hub")) & _can_link("hub_", percent))
     first = confirmed(stars.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "links")
 
     labels = work.keep(graph.components(first, work), "labels")
-    placed = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "marks", F.coalesce("label", "cls").alias("label"))
+    placed = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", *shape, F.coalesce("label", "cls").alias("label"))
     placed = work.keep(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
     open_ = work.keep(placed.join(mixed, "key").join(hubs.select("key", "hub"), "key"), "open")
     main = open_.filter("cls = hub").select("key", F.col("label").alias("main"))
-    minor = open_.join(main, "key").filter("label != main").select("key", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("marks").alias("m2"), F.col("label").alias("l2"))
+    minor = open_.join(main, "key").filter("label != main").select("key", F.col("cls").alias("c2"), F.col("label").alias("l2"), *(F.col(c).alias(f"o_{c}") for c in shape))
     apart = (F.col("label") != F.col("l2")) & ((F.col("label") == F.col("main")) | (F.col("cls") < F.col("c2")))
-    cross = open_.join(main, "key").join(minor, "key").filter(apart & (F.col("cls") != F.col("hub")) & _can_link(F.col("n"), F.col("marks"), F.col("n2"), F.col("m2"), percent))
+    cross = open_.join(main, "key").join(minor, "key").filter(apart & (F.col("cls") != F.col("hub")) & _can_link("o_", percent))
     second = confirmed(cross.select(F.least("cls", "c2").alias("a"), F.greatest("cls", "c2").alias("b")).distinct(), "more-links")
 
     ends = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
