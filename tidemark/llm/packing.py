@@ -97,17 +97,28 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 20
 
     def packed(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        from .tokens import release
+
+        release()
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pa.Table.from_batches(held)
-        unit = rows.column("unit").to_numpy()
-        for u in np.unique(unit).tolist():
-            part = rows.filter(pa.array(unit == u)).sort_by([("doc_id", "ascending"), ("piece", "ascending")])
-            bins, offsets = match_and_fit(part.column("length").to_numpy(), capacity)
-            part = part.drop_columns(["unit"]).append_column("sequence_id", pa.array((u << 40) + bins)).append_column("offset", pa.array(offsets))
-            yield from part.to_batches(max_chunksize=4096)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        del held
+        order = pc.sort_indices(rows.select(["unit", "doc_id", "piece"]), [("unit", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")]).to_numpy()
+        unit = rows.column("unit").to_numpy()[order]
+        lengths = rows.column("length").to_numpy()[order]
+        rows = rows.drop_columns(["unit"])
+        starts = np.flatnonzero(np.diff(unit, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(unit)], strict=True):
+            bins, offsets = match_and_fit(lengths[a:b], capacity)
+            for k in range(a, b, 1024):
+                part = rows.take(pa.array(order[k : min(b, k + 1024)]))
+                place = slice(k - a, min(b, k + 1024) - a)
+                part = part.append_column("sequence_id", pa.array((int(unit[a]) << 40) + bins[place])).append_column("offset", pa.array(offsets[place]))
+                yield from part.to_batches()
 
     pieces = encode_pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity)
     unit = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(units)).alias("unit")

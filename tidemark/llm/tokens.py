@@ -126,3 +126,16 @@ class Encoder(dict):
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker, kept between its tasks."""
     return Encoder(path)
+
+
+def release() -> None:
+    """Give up a worker's encoders and hand free memory back; for tasks that hold much and encode nothing."""
+    import ctypes
+
+    import pyarrow as pa
+
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
