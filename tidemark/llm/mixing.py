@@ -23,26 +23,30 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(UNIT)
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The cumulative probabilities P(X <= k), k from 0 on, as far as doubles can tell them from one.
+#: The largest mean whose probabilities are summed from exp(-rate) on, which is still an exact double there.
+MOST = 700.0
 
-    exp(-rate) is exact enough up to rates of some hundreds; beyond `MOST` a rate is split by the caller.
+
+def poisson_steps(rate: Column) -> tuple[Column, Column]:
+    """The first k and the cumulative probabilities P(X <= k) from there on, as far as doubles can tell them from zero and one.
+
+    Up to `MOST` the first k is 0. Beyond it the terms begin twelve deviations and more below the mean, as
+    multiples of their first one, and are divided by their sum in the end, so no rate underflows.
     """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("steps"))
-    grown = F.aggregate(
-        F.sequence(F.lit(1), last),
-        start,
+    large = rate > MOST
+    reach = 12 * F.sqrt(rate) + 30
+    first, last = F.when(large, F.floor(rate - reach)).otherwise(0).cast("long"), F.ceil(rate + reach).cast("long")
+    begin = F.when(large, F.lit(1.0)).otherwise(F.exp(-rate))
+    steps = F.aggregate(
+        F.sequence(first + 1, last),
+        F.struct(begin.alias("p"), F.array(begin).alias("steps")),
         lambda a, k: F.struct(
             (a["p"] * rate / k).alias("p"),
             F.concat(a["steps"], F.array(F.element_at(a["steps"], -1) + a["p"] * rate / k)).alias("steps"),
         ),
+        lambda a: F.when(large, F.transform(a["steps"], lambda s: s / F.element_at(a["steps"], -1))).otherwise(a["steps"]),
     )
-    return grown["steps"]
-
-
-#: The largest mean that is drawn in one go; a larger one is the sum of its whole part and a draw of the rest.
-MOST = 200.0
+    return first, steps
 
 
 def source_rates(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, temperature: float = 0.5) -> DataFrame:
@@ -75,11 +79,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     """
     docs = docs.drop("copy", "repetitions", "mix_order")
     rates = common.Workspace(docs.sparkSession, "mixing").keep(source_rates(docs, source_col=source_col, text_col=text_col, weights=weights, temperature=temperature), "rates")
-    steps = rates.select(F.col("source").alias("__source"), F.when(F.col("rate") > MOST, F.floor("rate")).otherwise(0).cast("long").alias("__whole"), F.when(F.col("rate") > MOST, F.col("rate") - F.floor("rate")).otherwise(F.col("rate")).alias("__rate")).select("__source", "__whole", poisson_steps(F.col("__rate")).alias("__steps"))
+    first, ladder = poisson_steps(F.col("rate"))
+    steps = rates.select(F.col("source").alias("__source"), first.alias("__first"), ladder.alias("__steps"))
     ident = [F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text_col, F.lit("")))]
     drawn = docs.join(steps, docs[source_col].eqNullSafe(steps["__source"])).withColumn("__u", unit_hash(*ident))
-    count = (F.col("__whole") + F.size(F.filter("__steps", lambda s: s <= F.col("__u")))).cast("int")
-    counted = drawn.withColumn("repetitions", count).drop("__source", "__whole", "__steps", "__u").filter("repetitions > 0")
+    count = (F.col("__first") + F.size(F.filter("__steps", lambda s: s <= F.col("__u")))).cast("int")
+    counted = drawn.withColumn("repetitions", count).drop("__source", "__first", "__steps", "__u").filter("repetitions > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repetitions"))))
     shuffled = copies.withColumn("mix_order", unit_hash(F.lit(f"{seed}:order"), *ident[1:], F.col("copy").cast("string")))
     return shuffled.repartitionByRange("mix_order").sortWithinPartitions("mix_order")
