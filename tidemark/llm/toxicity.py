@@ -28,15 +28,18 @@ POWER = 3
 #: Letters of a word that a landmark keeps.
 STEM = 7
 OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”„’‘…–—"
+#: Letters of which each is parted from the next by one mark.
+PARTED = re.compile(r"[^\W\d_](?:[\W_][^\W\d_]){2,23}")
 SPACED = re.compile(r" (\S(?: \S){2,})(?= |$)")
 
 
 def normal(word: str) -> list[str]:
-    """The units of a lower-cased word: itself without outer punctuation, or overlapping parts if it is long."""
+    """The units of a lower-cased word: itself without outer punctuation, or overlapping parts if it is long; and its letters alone if marks part each from the next."""
     word = word.strip(OUTER)
+    bare = [word[::2]] if PARTED.fullmatch(word) else []
     if len(word) <= LONGEST:
-        return [word] if word else []
-    return [word[a : a + LONGEST] for a in range(0, len(word) - LONGEST + STEP, STEP)]
+        return [word, *bare] if word else []
+    return bare + [word[a : a + LONGEST] for a in range(0, len(word) - LONGEST + STEP, STEP)]
 
 
 def sentences(text: str) -> list[str]:
