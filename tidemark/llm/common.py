@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "file:///tmp/checkpoints/tidemark"
+#: Where tables go if the driver runs everything itself and spark.checkpoint.dir is unset, as in tests.
+LOCAL_SHARED = "file:///tmp/checkpoints/tidemark"
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,28 +26,49 @@ def texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor and the driver reach; a local one only where none is set."""
+    """The folder in spark.checkpoint.dir, which every executor and the driver reach, with the scheme that Hadoop gives it.
+
+    Where none is set, a local master gets a local folder and any other one an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = DEFAULT_SHARED
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = LOCAL_SHARED
         spark.sparkContext.setCheckpointDir(root)
-    return root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
+    p, fs = _hadoop(spark, root)
+    return fs.makeQualified(p).toString().replace("file:/", "file:///").replace("file://///", "file:///")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def owned(owner: str):
+    """Workspaces made inside belong to `owner`, who alone can release them."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
 
 
 class Workspace:
     """Written tables of one operator call, in a folder of its own under the shared one.
 
-    A written table cuts lineage: if an executor is lost later, its tasks read the table again.
-    `release` removes every folder of a session that is no longer needed; results that have not
-    been written by then can no longer be computed.
+    A written table cuts lineage: if an executor is lost later, its tasks read the table again. The
+    folder stays until its owner releases it or the driver ends, since the operator's result is lazy
+    and reads from it.
     """
 
-    made: list[tuple[SparkSession, str]] = []
+    made: list[tuple[str | None, SparkSession, str]] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.n = spark, 0
         self.path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex[:12]}"
-        Workspace.made.append((spark, self.path))
+        Workspace.made.append((_owner.get(), spark, self.path))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -57,16 +83,28 @@ class Workspace:
                 _delete(self.spark, f)
 
     @classmethod
-    def release(cls) -> None:
-        for spark, path in cls.made:
-            _delete(spark, path)
+    def release(cls, owner: str) -> None:
+        """Remove the folders of `owner`; results that need them must have been written."""
+        for mine, spark, path in list(cls.made):
+            if mine == owner:
+                _delete(spark, path)
+                cls.made.remove((mine, spark, path))
+
+    @classmethod
+    def sweep(cls) -> None:
+        """At the end of the driver: remove what is left, as long as the session still runs."""
+        for _, spark, path in cls.made:
+            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+                _delete(spark, path)
         cls.made.clear()
 
 
+atexit.register(Workspace.sweep)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
 
 
 def open_fs(uri: str):
@@ -77,13 +115,28 @@ def open_fs(uri: str):
 
 
 def publish(uri: str, write) -> None:
-    """Write a file under another name and rename it, so that a retried or second attempt never leaves half a file."""
+    """Write a file under another name and rename it, so that a retried or second attempt never leaves half a file.
+
+    Attempts at one name write the same bytes. Where a rename refuses an existing file, as on HDFS, the
+    file that is there stays.
+    """
     fs, path = open_fs(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     draft = f"{path}.{uuid.uuid4().hex[:8]}.draft"
     with fs.open_output_stream(draft) as out:
         write(out)
-    fs.move(draft, path)
+    try:
+        fs.move(draft, path)
+    except OSError:
+        if not _exists(fs, path):
+            raise
+        fs.delete_file(draft)
+
+
+def _exists(fs, path: str) -> bool:
+    from pyarrow.fs import FileType
+
+    return fs.get_file_info(path).type == FileType.File
 
 
 def schema_of(ddl: str):
