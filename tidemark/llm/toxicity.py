@@ -1,16 +1,23 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
 
 The kernel of two words counts the subsequences of three and four letters that they share, each weighted
-by a decay for every letter that it spans, gaps included; its power stresses close matches. So letters put between those of an insult, or
-endings put after its stem, only weaken a match. Landmarks are words of the labelled sentences; a word's
-kernels with them, whitened, are its features. A sentence scores as its strongest word, a text as its
-strongest sentence, and two numbers fitted on the training texts turn that into a probability.
+by a decay for every letter that it spans, gaps included; its power stresses close matches. So letters put
+between those of an insult, or endings put after its stem, only weaken a match, and marks put in cost
+nothing, since a word with marks inside is also scored by its letters alone. Landmarks are words of the
+labelled sentences; a word's kernels with them, whitened, are its features.
+
+The machine is trained on labelled sentences, as a multiple-instance problem: a sentence's margin is that
+of its strongest word, every sentence of a clean text is negative, and a toxic text has a positive sentence
+at least. Its witness is the word that explains most toxic texts not explained yet. Two numbers fitted on
+the training texts turn a text's strongest sentence into a probability.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,26 +27,36 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DECAY = 0.6
+DECAY = 0.8
+#: The orders of the subsequences that are counted.
+ORDERS = (3, 4)
+#: The power of the kernel, which stresses close matches.
+POWER = 2
+#: Letters that the beginnings have at least by which witnesses are told.
+STEM = 4
+#: Longer words are taken in overlapping parts of LONGEST letters, STEP letters apart.
 LONGEST = 24
 STEP = 12
-#: The power of the kernel, which stresses close matches.
-POWER = 3
-#: Letters of a word that a landmark keeps.
-STEM = 7
 OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”„’‘…–—"
-#: Letters of which each is parted from the next by one mark.
-PARTED = re.compile(r"[^\W\d_](?:[\W_][^\W\d_]){2,23}")
+MARKS = re.compile(r"[\W_]+")
 SPACED = re.compile(r" (\S(?: \S){2,})(?= |$)")
 
 
 def normal(word: str) -> list[str]:
-    """The units of a lower-cased word: itself without outer punctuation, or overlapping parts if it is long; and its letters alone if marks part each from the next."""
+    """The units of a lower-cased word: itself without outer punctuation, in overlapping parts if it is long, and its letters alone if marks stand between them."""
     word = word.strip(OUTER)
-    bare = [word[::2]] if PARTED.fullmatch(word) else []
+    if not word:
+        return []
+    if word.isalnum():
+        return _parts(word)
+    bare = MARKS.sub("", word)
+    return list(dict.fromkeys([*_parts(word), *_parts(bare)])) if bare else _parts(word)
+
+
+def _parts(word: str) -> list[str]:
     if len(word) <= LONGEST:
-        return [word, *bare] if word else []
-    return bare + [word[a : a + LONGEST] for a in range(0, len(word) - LONGEST + STEP, STEP)]
+        return [word]
+    return [word[a : a + LONGEST] for a in range(0, len(word) - LONGEST + STEP, STEP)]
 
 
 def sentences(text: str) -> list[str]:
@@ -62,7 +79,7 @@ def _own(n: int) -> float:
     Very short words count as if they had five letters: the few subsequences they have prove little.
     """
     n, total = max(n, 5), 0.0
-    for order in (3, 4):
+    for order in ORDERS:
         k = np.array([[1.0] * (n + 1)] * (n + 1))
         for _ in range(order - 1):
             nxt = np.zeros((n + 1, n + 1))
@@ -196,11 +213,11 @@ class Scorer:
         return np.array([max(map(now.__getitem__, s), default=self.model.bias) for s in sets])
 
 
-def _variants(word: str, r: random.Random) -> list[str]:
-    """The word with marks or letters put in, as those who hide an insult write it."""
-    dots = r.choice(".-_* ").strip() or "."
-    k = r.randrange(1, max(2, len(word)))
-    return [dots.join(word), word[:k] + r.choice("abexz*.-") + word[k:], word[:k] + word[k - 1] + word[k:]]
+def variants(word: str, letters: str, r: random.Random, each: int) -> list[str]:
+    """The word as those who hide an insult write it: letters put in (`each` at every place), doubled, put between all letters, or an ending."""
+    inner = range(1, len(word))
+    out = [word[:k] + r.choice(letters) + word[k:] for k in inner for _ in range(each)] + [word[:k] + word[k - 1] + word[k:] for k in inner]
+    return out + [r.choice(letters).join(word) for _ in range(each)] + [word + "s", word + "es"]
 
 
 def _plane(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -216,66 +233,120 @@ def _plane(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3
     return w[:-1], float(w[-1])
 
 
-def fit(toxic: list[str], clean: list[str], *, landmarks: int = 36, pool_size: int = 12_000, ridge: float = 1e-3, seed: int = 5) -> Model:
+def stems(units: set[str]) -> set[str]:
+    """The beginnings of at least STEM letters of the units."""
+    return {u[:k] for u in units for k in range(STEM, len(u) + 1)}
+
+
+def witnesses(toxic: list[set[str]], clean: list[set[str]], *, support: float, odds: float) -> Counter:
+    """The stems that explain the toxic texts, with the number of toxic texts that hold each; texts are sets of units.
+
+    A stem qualifies if toxic texts hold it `odds` times as often as clean ones. In turn, the stem in most
+    unexplained texts is taken, in the longest form that nearly as many of them hold, as long as it is in
+    the share `support` of the toxic texts, and three at least. Stems in five times as many texts are
+    witnesses too even if all of these hold another; others only keep company with witnesses.
+    """
+    bags = [stems(t) for t in toxic]
+    count = Counter(x for bag in bags for x in bag)
+    least = max(3, math.ceil(support * len(bags)))
+    known = {x for x, n in count.items() if n >= least}
+    away: Counter = Counter()
+    for t in clean:
+        away.update(stems(t) & known)
+    told = {x for x in known if (count[x] + 0.5) / (len(bags) + 1) >= odds * (away[x] + 0.5) / (len(clean) + 1)}
+    holders: dict[str, set[int]] = {x: set() for x in told}
+    for i, bag in enumerate(bags):
+        for x in bag & told:
+            holders[x].add(i)
+
+    def longest(x: str, left: dict[str, int]) -> str:
+        return max((y for y in left if y.startswith(x) and left[y] >= 0.9 * left[x]), key=lambda y: (len(y), left[y], y))
+
+    out, open_ = Counter(), {x: set(h) for x, h in holders.items()}
+    while open_:
+        left = {x: len(h) for x, h in open_.items()}
+        best = longest(min(left, key=lambda x: (-left[x], x)), left)
+        if left[best] < least:
+            break
+        out[best] = count[best]
+        gone = open_[best]
+        open_ = {x: rest for x, h in open_.items() if (rest := h - gone)}
+    often = {x: count[x] for x in told if count[x] >= 5 * least}
+    for x in sorted(often, key=lambda x: (-often[x], len(x), x)):
+        if not any(x.startswith(y) or y.startswith(x) for y in out):
+            out[y] = count[y := longest(x, often)]
+    return out
+
+
+def spread(candidates: list[str], most: int, near: float) -> list[str]:
+    """Up to `most` of the candidates, best first, none with a kernel of `near` or more with one before it."""
+    kept: list[str] = []
+    for u in candidates:
+        if len(kept) == most:
+            break
+        if not kept or Landmarks([u]).kernels(kept).max() < near:
+            kept.append(u)
+    return kept
+
+
+def fit(toxic: list[str], clean: list[str], *, landmarks: int = 64, support: float = 0.01, odds: float = 100.0, hard: int = 6000, rounds: int = 4, ridge: float = 1e-3, caution: float = 3.0, seed: int = 5) -> Model:
     """Fit on texts of both labels.
 
-    Sentences of clean texts are negative. In a toxic text, those sentences are positive that hold a word
-    which clean texts lack and toxic ones repeat; these words are their instances. Three times, the
-    strongest words of the clean texts' sentences join the negatives and the landmarks, and the plane is
-    fitted again.
+    Every sentence of a clean text is negative. In a toxic text the sentences with a word that begins with
+    a witness are positive, and so are they with that word hidden (see `variants`), as heavy as those
+    together. In each round the plane is fitted, the strongest word of every clean sentence is looked up,
+    and the `hard` strongest of them all become negatives, the most different ones landmarks too. Half of
+    the landmarks are for witnesses at most. caution: how much heavier the clean side is. These numbers
+    bound what is learned from, not what is scored.
     """
     r = random.Random(seed)
-    count: list[dict[str, int]] = [{}, {}]
-    for side, texts in enumerate((clean, toxic)):
-        for t in texts:
-            for u in {u for s in sentences(t) for w in words(s) for u in normal(w)}:
-                count[side][u] = count[side].get(u, 0) + 1
-    negative = sorted(count[0], key=lambda u: (-count[0][u], u))[:pool_size]
-    witness = sorted((u for u, n in count[1].items() if n >= 3 and u not in count[0]), key=lambda u: (-count[1][u], u))[:600]
-    if not witness or not negative:
-        marks = Landmarks(((witness or negative or ["-"]) * landmarks)[:landmarks])
-        return Model(marks, np.zeros(landmarks, np.float32), -1.0, 1.0, -2.0 if not witness else 2.0)
-    short = [u for u in witness if len(u) <= STEM + 2] or witness
-    chosen: list[str] = []
-    pool = Landmarks([u[:STEM] for u in short[:200]])
-    near = pool.kernels([u[:STEM] for u in short[:200]])
-    far = np.zeros(len(near))
-    for _ in range(min(landmarks * 3 // 5, len(near))):
-        k = int(np.argmax((1.05 - far) * np.log1p([count[1][u] for u in short[:200]])))
-        chosen.append(short[k][:STEM])
-        far = np.maximum(far, near[k] / near[k, k])
-    common_words = sorted((u for u in negative if 3 <= len(u) <= STEM + 2), key=lambda u: (-count[0][u], u))[:400]
+    bags = [[{u for w in words(s) for u in normal(w)} for s in sentences(t)] for t in toxic]
+    negative = [[{u for w in words(s) for u in normal(w)} for s in sentences(t)] for t in clean]
+    found = witnesses([set().union(*bag) for bag in bags], [set().union(*bag) for bag in negative], support=support, odds=odds)
+    negative = [s for bag in negative for s in bag if s]
+    seen = Counter(u for s in negative for u in s)
+    if not found or not negative:
+        marks = Landmarks([min(found or seen, key=lambda u: (-(found or seen)[u], u), default="-")])
+        return Model(marks, np.zeros(1, np.float32), -1.0, 1.0, 2.0 if found else -2.0)
+    letters = "".join(sorted({c for u in found for c in u if c.isalpha()})) or "x"
+    plain = sorted(found, key=lambda u: (-found[u], u))
+    times = Counter(u for bag in bags for s in bag for u in s if u not in seen and u.startswith(tuple(plain)))
+    weigh: dict[str, float] = {}
+    for u in sorted(times):
+        hidden = [v for v in variants(u, letters, r, 3 if u in found else 1) if len(v) <= LONGEST and v not in seen]
+        for v, n in [(u, times[u] / 2), *((v, times[u] / 2 / len(hidden)) for v in hidden)]:
+            weigh[v] = weigh.get(v, 0) + n
+    positive = list(weigh)
+    chosen = spread(plain, max(1, landmarks // 2), 0.5)
     room = landmarks - len(chosen)
-    chosen += r.sample(common_words, min(room // 3, len(common_words)))
-
-    positive = list(dict.fromkeys(u for w in witness for u in [w, *(_variants(w, r) if count[1][w] >= 20 else [])] if len(u) <= LONGEST))
-    times = np.array([count[1].get(u, 1) ** 0.5 for u in positive])
-    sampled = negative[:8000]
-    for last in (False, False, False, True):
+    ranked = sorted(seen, key=lambda u: (-seen[u], u))
+    sampled = ranked[:hard]
+    chosen += spread([u for u in sampled if len(u) > 3], room // (rounds + 1), 0.3)
+    heavy = np.array([weigh[u] for u in positive])
+    for step in range(rounds):
         marks = Landmarks(list(dict.fromkeys(chosen)))
         values, vectors = np.linalg.eigh(marks.kernels(marks.marks).astype(np.float64))
         white = vectors[:, values > 1e-3] / np.sqrt(values[values > 1e-3])
         x = marks.kernels(positive + sampled).astype(np.float64) @ white
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(sampled))])
-        weight = np.concatenate([0.5 * times / times.sum(), 0.5 * (seen := np.array([count[0][u] ** 0.5 for u in sampled])) / seen.sum()])
-        plane, bias = _plane(x, y, weight, ridge)
+        light = np.array([seen[u] ** 0.5 for u in sampled])
+        plane, bias = _plane(x, y, np.concatenate([heavy / heavy.sum(), caution * light / light.sum()]) / (1 + caution), ridge)
         model = Model(marks, (white @ plane).astype(np.float32), bias, 1.0, 0.0)
-        if not last:
-            scored = model.margins(negative)
-            hard = [negative[i] for i in np.argsort(-scored)[:3000].tolist()]
-            chosen += [u[:STEM] for u in hard[: 4 * room : 4] if len(u) > 2][: room // 3]
-            sampled = list(dict.fromkeys(hard + sampled))
+        if step < rounds - 1:
+            margin = dict(zip(ranked, model.margins(ranked).tolist(), strict=True))
+            strongest = sorted({max(s, key=lambda u: (margin[u], u)) for s in negative if s}, key=lambda u: (-margin[u], u))[:hard]
+            chosen += spread([u for u in strongest if len(u) > 2], room // (rounds + 1), 0.3)
+            sampled = list(dict.fromkeys(strongest + sampled))
     scorer = Scorer(model)
-    margin = np.concatenate([scorer.margins(toxic), scorer.margins(clean)])
-    truth = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
-    model.slope, model.shift = _platt(margin, truth)
+    plainly, cleanly, hiddenly = scorer.margins(toxic), scorer.margins(clean), model.margins(positive)
+    weight = [np.full(len(plainly), 0.5 / len(plainly)), 0.5 * heavy / heavy.sum(), np.full(len(cleanly), caution / len(cleanly))]
+    model.slope, model.shift = _platt(np.concatenate([plainly, hiddenly, cleanly]), np.repeat([1.0, 1.0, 0.0], [len(w) for w in weight]), np.concatenate(weight) / (1 + caution))
     return model
 
 
-def _platt(margin: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve by Newton steps; clean texts weigh three times as much, to be left alone."""
+def _platt(margin: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve by Newton steps."""
     z = np.stack([margin, np.ones(len(margin))], 1)
-    weight = np.where(truth == 1, 0.25 / max(1, truth.sum()), 0.75 / max(1, (1 - truth).sum()))
     w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
