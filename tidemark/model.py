@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 
 class EngineError(ValueError):
@@ -18,6 +20,8 @@ class Limits:
     read_filters: int = 100
     fact_bytes: int = 131072
     impact_bytes: int = 131072
+    manifest_bytes: int = 1048576
+    summary_bytes: int = 768
     endpoints: int = 512
     resources: int = 128
 
@@ -33,7 +37,9 @@ class Resource:
     table: str = ""
     identity: tuple[str, ...] | None = None
     scope: str | None = None
-    cascades: tuple[tuple[str, str], ...] = ()  # (child resource, its foreign column)
+    cascades: tuple[tuple[str, str | tuple[str, ...]], ...] = ()  # (child resource, its foreign columns, in the order of this one's identity)
+    parts: tuple[str, ...] = ()  # physical tables of one logical resource
+    refreshed: bool = False  # a materialised result, written by refresh alone
 
 
 @dataclass(frozen=True)
@@ -53,7 +59,64 @@ class Manifest:
     dependents: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
-RANK = {"verified": 0, "conservative": 1, "unavailable": 2}
+STATUSES = ("verified", "conservative", "unavailable")
+CODES = ("VALIDATION_FAILED", "CATALOG_DRIFT", "RESOURCE_DRIFT", "OBSERVER_UNVERIFIED", "PRECISION_REDUCED", "OBSERVATION_FAILED", "CALCULATION_FAILED")
+NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
+
+
+def byte_length(value) -> int:
+    return len(canonical(value).encode())
+
+
+def quoted(name: str) -> str:
+    """An identifier for SQL text."""
+    if not name or "\0" in name:
+        raise EngineError("INVALID_IDENTIFIER")
+    return "`" + name.replace("`", "``") + "`"
+
+
+@dataclass(frozen=True)
+class Fragment:
+    """SQL text with its arguments; parts are put together by `joined`, never by formatting values into text."""
+
+    text: str
+    args: tuple[tuple[str, object], ...] = ()
+
+    @staticmethod
+    def identifier(name: str) -> Fragment:
+        return Fragment(quoted(name))
+
+    @staticmethod
+    def value(value) -> Fragment:
+        return Fragment("?", (("", value),))
+
+    @staticmethod
+    def joined(parts, by: str = " ") -> Fragment:
+        parts = list(parts)
+        return Fragment(by.join(p.text for p in parts), tuple(a for p in parts for a in p.args))
+
+    def named(self) -> tuple[str, dict[str, object]]:
+        """The text with :p0, :p1, ... for its values, and these."""
+        pieces = self.text.split("?")
+        if len(pieces) != len(self.args) + 1:
+            raise EngineError("PARAMETER_MISMATCH")
+        text = pieces[0] + "".join(f":p{i}{rest}" for i, rest in enumerate(pieces[1:]))
+        return text, {f"p{i}": v for i, (_, v) in enumerate(self.args)}
+
+
+def number_text(value: float) -> str:
+    """The shortest decimal digits of a number: plain from 1e-6 up to 1e21, else with an exponent as in 1.5e-7."""
+    if value == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(value)).normalize().as_tuple()
+    digits, point = "".join(map(str, digits)), len(digits) + exponent
+    if point > 21 or point <= -6:
+        text = digits[0] + ("." + digits[1:] if len(digits) > 1 else "") + f"e{'+' if point > 0 else '-'}{abs(point - 1)}"
+    elif point >= len(digits):
+        text = digits + "0" * (point - len(digits))
+    else:
+        text = f"{digits[:point]}.{digits[point:]}" if point > 0 else "0." + "0" * -point + digits
+    return "-" * sign + text
 
 
 def canonical(value) -> str:
@@ -63,7 +126,7 @@ def canonical(value) -> str:
     if isinstance(value, (int, float)):
         if not math.isfinite(value):
             raise EngineError("NON_JSON_VALUE")
-        return str(int(value)) if float(value).is_integer() and abs(value) < 1e21 else json.dumps(value)
+        return str(value) if isinstance(value, int) else number_text(value)
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, dict):
@@ -72,18 +135,26 @@ def canonical(value) -> str:
     raise EngineError("NON_JSON_VALUE")
 
 
+def foreign(cascade: tuple) -> tuple[str, ...]:
+    return (cascade[1],) if isinstance(cascade[1], str) else tuple(cascade[1])
+
+
 def validate_resources(resources: list[Resource], limits: Limits = Limits()) -> dict[str, Resource]:
     """Resources by id, or an EngineError."""
-    if len(resources) > limits.resources:
+    size = byte_length({r.id: {"scopeColumn": r.scope, "columns": list(r.columns)} for r in resources})
+    if len(resources) > limits.resources or size > limits.manifest_bytes:
         raise EngineError("RESOURCE_LIMIT")
     out: dict[str, Resource] = {}
+    tables: set[str] = set()
     for r in resources:
-        if not r.id or len(r.id) > 128 or "\0" in r.id or not r.columns or len(set(r.columns)) < len(r.columns):
-            raise EngineError("INVALID_RESOURCE")
-        if r.id in out:
+        if not r.id or len(r.id) > 128 or "\0" in r.id or not r.columns or len(set(r.columns)) < len(r.columns) or r.id in out:
             raise EngineError("INVALID_RESOURCE")
-        if any(x.table == (r.table or r.id) for x in out.values()):
+        if any(not c or "\0" in c for c in (*r.columns, *(r.parts or (r.table or r.id,)))):
+            raise EngineError("INVALID_IDENTIFIER")
+        mine = set(r.parts or (r.table or r.id,))
+        if mine & tables or len(mine) < len(r.parts or mine):
             raise EngineError("DUPLICATE_TABLE")
+        tables |= mine
         if r.identity is not None:
             if not r.identity:
                 raise EngineError("EMPTY_IDENTITY")
@@ -93,10 +164,11 @@ def validate_resources(resources: list[Resource], limits: Limits = Limits()) ->
                 raise EngineError("UNREGISTERED_COLUMN")
         if r.scope is not None and r.scope not in r.columns:
             raise EngineError("UNREGISTERED_COLUMN")
-        out[r.id] = Resource(r.id, tuple(r.columns), r.table or r.id, r.identity, r.scope, tuple(r.cascades))
+        out[r.id] = replace(r, columns=tuple(r.columns), table=r.table or r.id, cascades=tuple(r.cascades))
     for r in out.values():
-        for child, column in r.cascades:
-            if child not in out or column not in out[child].columns:
+        for cascade in r.cascades:
+            child = out.get(cascade[0])
+            if child is None or not set(foreign(cascade)) <= set(child.columns) or len(foreign(cascade)) != len(r.identity or ()):
                 raise EngineError("INVALID_CASCADE")
     state: dict[str, int] = {}
 
@@ -105,8 +177,8 @@ def validate_resources(resources: list[Resource], limits: Limits = Limits()) ->
             raise EngineError("CASCADE_CYCLE")
         if name not in state:
             state[name] = 1
-            for child, _ in out[name].cascades:
-                visit(child)
+            for cascade in out[name].cascades:
+                visit(cascade[0])
             state[name] = 2
 
     for name in out:

@@ -1,7 +1,8 @@
 """Change capture: row states of inserted, deleted and updated rows as one DataFrame of facts.
 
-A fact is a pair of states (before, after) of one row; facts are kept long, a row for each state:
-fact, resource, op, side, kind, scope, fields, equality, changed. Values are canonical texts.
+A fact is a pair of states (before, after) of one row and stands in one row: fact, resource, op, changed,
+before, after; a state is null where the row is absent. Values are canonical texts. `states` lays facts out
+long, a row for each state. A statement scans its table once.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import CERTIFIED, canonical_column
-from ..model import Manifest, Resource
+from ..functions.scalars import CERTIFIED, NESTED, canonical_column
+from ..model import EngineError, Limits, Manifest, Resource
 
+STATE = "struct<kind:string,scope:string,fields:map<string,string>,equality:map<string,string>>"
+FACTS = f"fact string, resource string, op string, changed array<string>, before {STATE}, after {STATE}"
 STATES = "fact string, resource string, op string, side string, kind string, scope string, fields map<string,string>, equality map<string,string>, changed array<string>"
+OPS = ("insert", "update", "delete", "unknown")
+NONE = F.lit(None)
 
 
 def observed(resource: Resource, manifest: Manifest) -> list[str]:
@@ -28,67 +33,208 @@ def observed(resource: Resource, manifest: Manifest) -> list[str]:
     return sorted(out)
 
 
-def _state(df: DataFrame, resource: Resource, columns: list[str], side: str, op: str, prefix: str = "", changed: Column | None = None) -> DataFrame:
-    kinds = {f.name: f.dataType for f in df.schema}
-    text = {c: canonical_column(F.col(prefix + c), kinds[prefix + c]) for c in columns}
-    certified = [c for c in columns if isinstance(kinds[prefix + c], CERTIFIED)]
-    as_map = lambda cs: F.map_from_arrays(F.array(*map(F.lit, cs)), F.array(*[text[c] for c in cs])) if cs else F.create_map().cast("map<string,string>")
-    key = [F.coalesce(F.col(prefix + c).cast("string"), F.lit("")) for c in (resource.identity or ())]
-    return df.select(
-        F.concat_ws(":", F.lit(resource.id), F.lit(op), *key).alias("fact"), F.lit(resource.id).alias("resource"), F.lit(op).alias("op"), F.lit(side).alias("side"), F.lit("known").alias("kind"),
-        (text[resource.scope] if resource.scope else F.lit(None).cast("string")).alias("scope"), as_map(columns).alias("fields"), as_map(certified).alias("equality"),
-        (changed if changed is not None else F.lit(None).cast("array<string>")).alias("changed"),
-    )
+class Encoder:
+    """States and facts of one resource's rows; `kinds` are its columns' types, by name."""
+
+    def __init__(self, resource: Resource, columns: list[str], kinds: dict):
+        self.resource, self.columns, self.kinds = resource, columns, kinds
+        self.opaque = any(isinstance(kinds[c], NESTED) for c in columns)
+
+    def text(self, column: str, prefix: str = "") -> Column:
+        return canonical_column(F.col(prefix + column), self.kinds[column])
+
+    def _map(self, columns: list[str], prefix: str) -> Column:
+        if not columns:
+            return F.create_map().cast("map<string,string>")
+        return F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[self.text(c, prefix) for c in columns]))
+
+    def state(self, prefix: str = "") -> Column:
+        """Rows of which an observed value is no scalar are unknown."""
+        if self.opaque:
+            return F.struct(F.lit("unknown").alias("kind"), *(NONE.cast(t).alias(n) for n, t in (("scope", "string"), ("fields", "map<string,string>"), ("equality", "map<string,string>")))).cast(STATE)
+        certified = [c for c in self.columns if isinstance(self.kinds[c], CERTIFIED)]
+        scope = self.text(self.resource.scope, prefix) if self.resource.scope else NONE.cast("string")
+        return F.struct(F.lit("known").alias("kind"), scope.alias("scope"), self._map(self.columns, prefix).alias("fields"), self._map(certified, prefix).alias("equality")).cast(STATE)
+
+    def facts(self, df: DataFrame, op: str, *, before: str | None = None, after: str | None = None, changed: Column | None = None) -> DataFrame:
+        """before, after: the prefix of that side's columns, or None where it is absent."""
+        named = before if before is not None else after
+        key = [F.when(F.col(named + c).isNull(), "null").otherwise(F.col(named + c).cast("string") if not isinstance(self.kinds[c], NESTED) else F.to_json(F.array(named + c))) for c in self.resource.identity or ()]
+        absent = NONE.cast(STATE)
+        return df.select(
+            F.concat_ws(":", F.lit(self.resource.id), F.lit(op), *key).alias("fact"), F.lit(self.resource.id).alias("resource"), F.lit(op).alias("op"),
+            (changed if changed is not None else NONE).cast("array<string>").alias("changed"),
+            (self.state(before) if before is not None else absent).alias("before"), (self.state(after) if after is not None else absent).alias("after"),
+        )
+
+
+def encoder(df: DataFrame, resource: Resource, columns: list[str]) -> Encoder:
+    return Encoder(resource, columns, {f.name: f.dataType for f in df.schema})
 
 
 def inserted(new: DataFrame, resource: Resource, columns: list[str]) -> DataFrame:
-    return _state(new, resource, columns, "after", "insert")
+    return encoder(new, resource, columns).facts(new, "insert", after="")
 
 
 def deleted(old: DataFrame, resource: Resource, columns: list[str]) -> DataFrame:
-    return _state(old, resource, columns, "before", "delete")
+    return encoder(old, resource, columns).facts(old, "delete", before="")
 
 
 def all_unknown(spark, resource: Resource, op: str = "unknown") -> DataFrame:
     """One fact that says only that something changed: a truncated or keyless table, a refreshed view."""
-    return spark.createDataFrame([(f"{resource.id}:{op}", resource.id, op, side, "unknown", None, None, None, None) for side in ("before", "after")], STATES)
+    lost = ("unknown", None, None, None)
+    return spark.createDataFrame([(f"{resource.id}:{op}", resource.id, op, None, lost, lost)], FACTS)
 
 
-def paired(old: DataFrame, new: DataFrame, resource: Resource) -> DataFrame:
-    """Full outer, null-safe join on the identity; columns with the prefixes old_ and new_."""
+def changes(resource: Resource, old: str = "old_", new: str = "new_") -> Column:
+    return F.array_compact(F.array(*[F.when(~F.col(old + c).eqNullSafe(F.col(new + c)), F.lit(c)) for c in resource.columns]))
+
+
+def updated_in_place(old: DataFrame, values: dict[str, Column], resource: Resource, columns: list[str]) -> DataFrame:
+    """Rows that an update of other columns than the identity changes; one pass over them."""
+    e = encoder(old, resource, columns)
+    both = old.select(*[F.col(c).alias(f"old_{c}") for c in resource.columns], *[values.get(c, F.col(c)).alias(f"new_{c}") for c in resource.columns])
+    moved = both.withColumn("__changed", changes(resource)).filter(F.size("__changed") > 0)
+    return e.facts(moved, "update", before="old_", after="new_", changed=F.col("__changed"))
+
+
+def paired(old: DataFrame, new: DataFrame, resource: Resource, how: str = "full_outer") -> DataFrame:
+    """Null-safe join on the identity; columns with the prefixes old_ and new_."""
     a = old.select(*[F.col(c).alias(f"old_{c}") for c in resource.columns], F.lit(True).alias("was"))
     b = new.select(*[F.col(c).alias(f"new_{c}") for c in resource.columns], F.lit(True).alias("is"))
-    return a.join(b, reduce(lambda x, y: x & y, [F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in resource.identity]), "full_outer")
+    return a.join(b, reduce(lambda x, y: x & y, [F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in resource.identity]), how)
 
 
 def updated(old: DataFrame, new: DataFrame, resource: Resource, columns: list[str]) -> DataFrame:
-    """Rows that differ; a changed identity gives two half facts, a table without one a single unknown fact."""
+    """Rows that differ, by their identity; a changed identity gives two half facts, a table without one a single unknown fact."""
     if not resource.identity:
         return all_unknown(old.sparkSession, resource)
-    both = paired(old, new, resource)
-    changed = F.array_compact(F.array(*[F.when(~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")), F.lit(c)) for c in resource.columns]))
-    kept = both.filter("was and is").withColumn("__changed", changed).filter(F.size("__changed") > 0)
-    before = _state(kept, resource, columns, "before", "update", "old_", F.col("__changed"))
-    after = _state(kept, resource, columns, "after", "update", "new_", F.col("__changed"))
-    gone = _state(both.filter("was and is is null"), resource, columns, "before", "update", "old_")
-    come = _state(both.filter("is and was is null"), resource, columns, "after", "update", "new_")
-    return before.unionByName(after).unionByName(gone).unionByName(come)
+    e, both = encoder(old, resource, columns), paired(old, new, resource)
+    moved = both.filter("was and is").withColumn("__changed", changes(resource)).filter(F.size("__changed") > 0)
+    facts = e.facts(moved, "update", before="old_", after="new_", changed=F.col("__changed"))
+    return facts.unionByName(e.facts(both.filter("was and is is null"), "update", before="old_")).unionByName(e.facts(both.filter("is and was is null"), "update", after="new_"))
+
+
+def merged(table: DataFrame, rows: DataFrame, resource: Resource, columns: list[str]) -> DataFrame:
+    """Facts of rows that replace those of the same identity or are put in; one join."""
+    e, both = encoder(table, resource, columns), paired(table, rows, resource, "right")
+    moved = both.filter("was").withColumn("__changed", changes(resource)).filter(F.size("__changed") > 0)
+    return e.facts(moved, "update", before="old_", after="new_", changed=F.col("__changed")).unionByName(e.facts(both.filter("was is null"), "insert", after="new_"))
+
 
+def states(facts: DataFrame) -> DataFrame:
+    """A row for each state that is not absent."""
+    sides = F.explode(F.filter(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("s")), F.struct(F.lit("after").alias("side"), F.col("after").alias("s"))), lambda x: x["s"].isNotNull()))
+    long_ = facts.select("fact", "resource", "op", "changed", sides.alias("x"))
+    return long_.select("fact", "resource", "op", "x.side", "x.s.kind", "x.s.scope", "x.s.fields", "x.s.equality", "changed")
 
-def summarised(states: DataFrame, limit: int) -> DataFrame:
-    """Resources with more than `limit` facts are reduced to the values that all their states share.
 
-    A value is kept if every known state of its side has it; unknown states absorb, absent ones do not
-    count; mixed operations become unknown, and so do differing scopes.
+def uncertified(facts: DataFrame, certified: list[str]) -> DataFrame:
+    """Facts without proof of equality for resources that are not in `certified`."""
+    bare = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.col(f"{s}.kind"), F.col(f"{s}.scope"), F.col(f"{s}.fields"), NONE.cast("map<string,string>").alias("equality")).cast(STATE))
+    known = F.col("resource").isin(certified)
+    return facts.withColumns({s: F.when(known, F.col(s)).otherwise(bare(s)) for s in ("before", "after")})
+
+
+def checked(facts: DataFrame, resources: dict[str, Resource]) -> DataFrame:
+    """Facts from elsewhere, or an error about the first that is not well formed."""
+    if [(f.name, f.dataType.simpleString()) for f in facts.schema] != [(f.name, f.dataType.simpleString()) for f in _schema()]:
+        raise EngineError("INVALID_WRITE_FACT")
+    scalar = lambda v: v.isNotNull() & v.rlike(r'^(null|true|false|-?[0-9].*|".*")$')
+    every = lambda m: F.coalesce(F.forall(F.map_values(m), scalar), F.lit(True))
+    sides = [F.col("before"), F.col("after")]
+    code = F.when(~F.col("resource").isin(list(resources)), "UNREGISTERED_RESOURCE").when(F.col("resource").isNull() | ~F.coalesce(F.col("op").isin(*OPS), F.lit(False)), "INVALID_WRITE_FACT")
+    code = code.when(reduce(lambda a, b: a | b, [s.isNotNull() & ~F.coalesce(s["kind"].isin("known", "unknown"), F.lit(False)) for s in sides]), "INVALID_ROW_STATE")
+    code = code.when(reduce(lambda a, b: a | b, [F.coalesce((s["kind"] == "known") & (s["fields"].isNull() | ~every(s["fields"]) | ~every(s["equality"])), F.lit(False)) for s in sides]), "NON_SCALAR_FIELD")
+    bad = facts.select(code.alias("code")).filter("code is not null").first()
+    if bad:
+        raise EngineError(bad["code"])
+    return facts
+
+
+def _schema():
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(FACTS)
+
+
+def sizes(facts: DataFrame) -> DataFrame:
+    """Number and bytes of the facts of every resource."""
+    size = F.octet_length(F.to_json(F.struct("resource", "op", "changed", "before", "after")))
+    return facts.groupBy("resource").agg(F.count("*").alias("facts"), F.sum(size.cast("long")).alias("bytes"))
+
+
+def largest(pressure: DataFrame) -> DataFrame:
+    """The resource with the most bytes, ties by name."""
+    return pressure.agg(F.max_by("resource", F.struct("bytes", F.lit(0))).alias("resource"), F.max("bytes").alias("bytes"))
+
+
+def over(pressure: dict[str, tuple[int, int]], limits: Limits) -> list[str]:
+    """Resources to summarise, the largest first, until numbers and bytes of facts are within the limits.
+
+    pressure: number and bytes of facts by resource, at most limits.resources of them.
+    """
+    left, out = dict(pressure), []
+    while True:
+        count, size = sum(n for n, _ in left.values()), sum(b for _, b in left.values())
+        if count <= limits.facts and size + count + 1 <= limits.fact_bytes:
+            return out
+        rest = [r for r in left if r not in out]
+        if not rest:
+            return out
+        most = max(rest, key=lambda r: (left[r][1], r))
+        out.append(most)
+        left[most] = (1, min(left[most][1], limits.summary_bytes))
+
+
+def summarised(facts: DataFrame, resources: list[str] | int, limits: Limits = Limits()) -> DataFrame:
+    """The facts, those of `resources` reduced to one each (a number: of all with more facts than that).
+
+    The one fact keeps what all known states of a side share: scope, fields and proofs of equality. Absent
+    states do not count; an unknown state, or two scopes, make the side unknown; two operations make the
+    operation unknown; changed columns are put together, null if one is. Beyond limits.summary_bytes the
+    shared values go first, then the states.
     """
-    size = states.groupBy("resource").agg(F.count_distinct("fact").alias("facts"))
-    many = states.join(F.broadcast(size.filter(F.col("facts") > limit)), "resource")
-    few = states.join(F.broadcast(size.filter(F.col("facts") <= limit)), "resource")
-    ops = many.groupBy("resource").agg(F.count_distinct("op").alias("ops"), F.min("op").alias("one"))
-    sides = many.groupBy("resource", "side").agg(F.count("*").alias("n"), F.max((F.col("kind") == "unknown").cast("int")).alias("lost"), F.count_distinct(F.coalesce("scope", F.lit(""))).alias("scopes"), F.max("scope").alias("scope"))
-    values = many.select("resource", "side", F.explode("fields").alias("c", "v")).groupBy("resource", "side", "c").agg(F.count("*").alias("n"), F.min("v").alias("v"), F.max("v").alias("w"))
-    shared = values.filter("v = w").join(sides.select("resource", "side", F.col("n").alias("all")), ["resource", "side"]).filter("n = all").groupBy("resource", "side").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("fields"))
-    one = sides.join(shared, ["resource", "side"], "left").join(ops, "resource")
-    unknown = (F.col("lost") == 1) | (F.col("scopes") > 1)
-    short = one.select(F.concat("resource", F.lit(":summary")).alias("fact"), "resource", F.when(F.col("ops") > 1, "unknown").otherwise(F.col("one")).alias("op"), "side", F.when(unknown, "unknown").otherwise("known").alias("kind"), F.when(~unknown, F.col("scope")).alias("scope"), F.when(~unknown, F.coalesce("fields", F.create_map().cast("map<string,string>"))).alias("fields"), F.lit(None).cast("map<string,string>").alias("equality"), F.lit(None).cast("array<string>").alias("changed"))
-    return few.select(*short.columns).unionByName(short)
+    if isinstance(resources, int):
+        n = facts.groupBy("resource").agg(F.count("*").alias("facts"))
+        chosen = F.broadcast(n.filter(F.col("facts") > resources).select("resource"))
+        few, many = facts.join(chosen, "resource", "left_anti").select(*facts.columns), facts.join(chosen, "resource")
+    else:
+        few, many = facts.filter(~F.col("resource").isin(resources)), facts.filter(F.col("resource").isin(resources))
+    flat = many.select("resource", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("s")) for s in ("before", "after")])).alias("x")).select("resource", "x.side", "x.s").filter("s is not null")
+    side = flat.groupBy("resource", "side").agg(F.count("*").alias("all"), F.max((F.col("s.kind") == "unknown").cast("int")).alias("lost"), F.min(F.coalesce("s.scope", F.lit(""))).alias("low"), F.max(F.coalesce("s.scope", F.lit(""))).alias("high"), F.max("s.scope").alias("scope"))
+
+    def shared(name: str) -> DataFrame:
+        each = flat.select("resource", "side", F.explode(f"s.{name}").alias("c", "v")).groupBy("resource", "side", "c").agg(F.count("*").alias("n"), F.min("v").alias("v"), F.max("v").alias("w")).filter("v <=> w")
+        kept = each.join(side.select("resource", "side", "all"), ["resource", "side"]).filter("n = all")
+        return kept.groupBy("resource", "side").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("c", "v")))).alias(name))
+
+    proven = flat.groupBy("resource", "side").agg(F.max(F.col("s.equality").isNull()).alias("unproven"))
+    empty = F.create_map().cast("map<string,string>")
+    j = side.join(shared("fields"), ["resource", "side"], "left").join(shared("equality"), ["resource", "side"], "left").join(proven, ["resource", "side"])
+    unknown = (F.col("lost") == 1) | (F.col("low") != F.col("high"))
+    known = F.struct(F.lit("known").alias("kind"), "scope", F.coalesce("fields", empty).alias("fields"), F.when(~F.col("unproven"), F.coalesce("equality", empty)).alias("equality")).cast(STATE)
+    blank = F.struct(F.lit("unknown").alias("kind"), NONE.cast("string").alias("scope"), NONE.cast("map<string,string>").alias("fields"), NONE.cast("map<string,string>").alias("equality")).cast(STATE)
+    one = j.select("resource", "side", F.when(unknown, blank).otherwise(known).alias("s"))
+    wide = one.groupBy("resource").agg(F.first(F.when(F.col("side") == "before", F.col("s")), True).alias("before"), F.first(F.when(F.col("side") == "after", F.col("s")), True).alias("after"))
+    ops = many.groupBy("resource").agg(F.count_distinct("op").alias("ops"), F.min("op").alias("one"), F.max(F.col("changed").isNull()).alias("any"))
+    columns = many.select("resource", F.explode("changed").alias("c")).groupBy("resource").agg(F.array_sort(F.collect_set("c")).alias("c"))
+    j = wide.join(ops, "resource").join(columns, "resource", "left")
+    short = j.select(F.concat("resource", F.lit(":summary")).alias("fact"), "resource", F.when(F.col("ops") > 1, "unknown").otherwise(F.col("one")).alias("op"), F.when(~F.col("any"), F.coalesce("c", F.array().cast("array<string>"))).alias("changed"), "before", "after")
+    return few.select(*facts.columns).unionByName(_bounded(short, limits).select(*facts.columns))
+
+
+def _bounded(short: DataFrame, limits: Limits) -> DataFrame:
+    size = F.octet_length(F.to_json(F.struct("resource", "op", "changed", "before", "after")))
+    empty = F.create_map().cast("map<string,string>")
+
+    def stripped(s: str) -> Column:
+        return F.when(F.col(f"{s}.kind") == "known", F.struct(F.col(f"{s}.kind"), F.col(f"{s}.scope"), empty.alias("fields"), NONE.cast("map<string,string>").alias("equality")).cast(STATE)).otherwise(F.col(s))
+
+    def lost(s: str) -> Column:
+        return F.when(F.col(s).isNotNull(), F.struct(F.lit("unknown").alias("kind"), NONE.cast("string").alias("scope"), NONE.cast("map<string,string>").alias("fields"), NONE.cast("map<string,string>").alias("equality")).cast(STATE))
+
+    large = short.withColumn("__large", size > limits.summary_bytes)
+    large = large.withColumns({s: F.when(F.col("__large"), stripped(s)).otherwise(F.col(s)) for s in ("before", "after")}).withColumn("changed", F.when(~F.col("__large"), F.col("changed")))
+    again = large.withColumn("__large", size > limits.summary_bytes)
+    return again.withColumns({s: F.when(F.col("__large"), lost(s)).otherwise(F.col(s)) for s in ("before", "after")})

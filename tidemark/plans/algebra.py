@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, is_dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -119,6 +119,24 @@ class Sql:
     no_store: bool = False
 
 
+#: Fields that may hold a function.
+FUNCTIONS = {"inputs", "test", "project", "pick"}
+
+
+def plain(value, field: str = "") -> None:
+    """Raise unless a plan is made of plans, tuples, lists and scalars alone, and of functions where a plan takes one."""
+    if is_dataclass(value) and type(value).__module__ == __name__:
+        for f in fields(value):
+            plain(getattr(value, f.name), f.name)
+    elif isinstance(value, (tuple, list)):
+        for x in value:
+            plain(x)
+    elif not (value is None or isinstance(value, (str, int, float, bool)) or field in FUNCTIONS and callable(value)):
+        if field == "value" and isinstance(value, dict):
+            return
+        raise EngineError("NON_PLAIN_PLAN_VALUE")
+
+
 def eq(field: str, value) -> Compare:
     return Compare(field, "=", value if isinstance(value, (Input, Literal)) else Literal(value))
 
@@ -219,20 +237,60 @@ class Builder:
         key = f"__{j.name}_key"
         if j.required and limit is None and not offset:
             return df.join(child.select(F.col(j.foreign).alias(key)), F.col(j.local) == F.col(key), "left_semi")
+        child = child.filter(F.col(j.foreign).isNotNull())
+        if j.many and limit is None and not offset:
+            return self._gather(df, j, child, names, key)
+        if not j.many and not j.required and not offset:
+            return self._first(df, j, child, names, key)
         order = self.ordering(j.child.order) or [F.lit(0)]
         child = child.withColumn("__at", F.row_number().over(Window.partitionBy(j.foreign).orderBy(*order)) - 1 - (offset or 0)).filter("`__at` >= 0")
         if limit is not None:
             child = child.filter(F.col("__at") < limit)
-        item = F.struct(*names)
         if j.required:
             return df.join(child.select(F.col(j.foreign).alias(key)), F.col(j.local) == F.col(key), "left_semi")
         if j.many:
-            grouped = child.groupBy(F.col(j.foreign).alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", item.alias("item")))), lambda x: x["item"]).alias(j.name))
-            kind = dict(grouped.dtypes)[j.name]
-            return df.join(grouped, F.col(j.local) == F.col(key), "left").drop(key).withColumn(j.name, F.coalesce(F.col(j.name), F.from_json(F.lit("[]"), kind)))
-        first = child.filter("`__at` = 0").select(F.col(j.foreign).alias(key), item.alias(j.name))
+            return self._gather(df, j, child, names, key, ["__at"])
+        first = child.filter("`__at` = 0").select(F.col(j.foreign).alias(key), F.struct(*names).alias(j.name))
         return df.join(first, F.col(j.local) == F.col(key), "left").drop(key)
 
+    @staticmethod
+    def _ranks(order: tuple[Order, ...], kinds: dict) -> list[Column] | None:
+        """Columns whose ascending order, nulls first, is the wanted one; None if a descending one has no negative."""
+        out = []
+        for o in order:
+            c, kind = F.col(o.field), kinds[o.field]
+            null = c.isNull() if not o.nulls_first else c.isNotNull()
+            if not o.ascending:
+                if not (kind.startswith("decimal") or kind in ("bigint", "int", "smallint", "tinyint", "double", "float")):
+                    return None
+                c = -c.cast("decimal(38,0)") if kind in ("bigint", "int", "smallint", "tinyint") else -c
+            out += [null, c]
+        return out
+
+    def _gather(self, df: DataFrame, j: Join, child: DataFrame, names: list[str], key: str, ranks: list | None = None) -> DataFrame:
+        """Children as an array of structs, empty where there are none. Sorted within each array; nothing is ranked over a window."""
+        ranks = [F.col(c) for c in ranks] if ranks else self._ranks(j.child.order, dict(child.dtypes))
+        if ranks is None:
+            at = Window.partitionBy(j.foreign).orderBy(*self.ordering(j.child.order))
+            child, ranks = child.withColumn("__at", F.row_number().over(at)), [F.col("__at")]
+        item = F.struct(*names)
+        if ranks:
+            held = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(ranks)]).alias("rank"), item.alias("item")))), lambda x: x["item"])
+        else:
+            held = F.collect_list(item)
+        grouped = child.groupBy(F.col(j.foreign).alias(key)).agg(held.alias(j.name))
+        kind = dict(grouped.dtypes)[j.name]
+        return df.join(grouped, F.col(j.local) == F.col(key), "left").drop(key).withColumn(j.name, F.coalesce(F.col(j.name), F.from_json(F.lit("[]"), kind)))
+
+    def _first(self, df: DataFrame, j: Join, child: DataFrame, names: list[str], key: str) -> DataFrame:
+        """The first child by order as a struct, null where there is none; a partial aggregate, no window."""
+        ranks, item = self._ranks(j.child.order, dict(child.dtypes)), F.struct(*names)
+        if ranks is None:
+            at = Window.partitionBy(j.foreign).orderBy(*self.ordering(j.child.order))
+            child = child.withColumn("__at", F.row_number().over(at)).filter("`__at` = 1")
+        one = F.min_by(item, F.struct(*[r.alias(f"r{i}") for i, r in enumerate(ranks)])) if ranks else F.first(item)
+        return df.join(child.groupBy(F.col(j.foreign).alias(key)).agg(one.alias(j.name)), F.col(j.local) == F.col(key), "left").drop(key)
+
     def select(self, s: Select, inputs: dict) -> DataFrame:
         df = self._rows(s, inputs)
         limit, offset = self._page(s.limit, inputs, 1, "limit"), self._page(s.offset, inputs, 0, "offset")
