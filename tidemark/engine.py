@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import copy
 import hashlib
 import threading
 from contextlib import contextmanager
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from .model import EngineError, Limits, Resource, canonical, foreign, validate_resources
 from .operators import calculus, capture
 from .plans.algebra import Builder, plain
+from .plans.inputs import parsed, parser
 from .plans.manifest import compile_manifest, needs_no_store, validate_manifest
 from .plans.policy import Policy, filtered, with_policies
 from .sources.catalog import check_table, schema_fingerprint
@@ -207,7 +207,8 @@ class Engine:
     def _register(self, resources: list[Resource], queries: dict[str, Any], parse: dict[str, Any] | None) -> None:
         if not isinstance(queries, dict):
             raise EngineError("QUERY_DEFINITIONS_REQUIRED")
-        self.resources, self.queries, self.parse = validate_resources(resources, self.limits), dict(queries), parse or {}
+        self.resources, self.queries = validate_resources(resources, self.limits), dict(queries)
+        self.parse = {e: parser(x) for e, x in (parse or {}).items()}
         for p in self.queries.values():
             plain(p)
         manifest = compile_manifest(self.queries, self.resources, opaque=self.opaque, sql_reads=self.sql_reads, limits=self.limits)
@@ -215,35 +216,21 @@ class Engine:
         calculus.check_budget(list(self.queries), self.limits)
         self.reads = calculus.reads_table(self.spark, self.manifest, self.resources)
 
-    def _input(self, endpoint: str, inputs: dict | None) -> dict:
-        """Inputs after the endpoint's own check; those that bind must come through unchanged."""
-        given = dict(inputs or {})
-        check = self.parse.get(endpoint)
-        if check is None:
-            return given
-        before = copy.deepcopy(given)
-        try:
-            given = getattr(check, "parse", check)(given)
-        except EngineError:
-            raise
-        except (TypeError, ValueError, KeyError) as e:
-            raise EngineError(f"INVALID_QUERY_INPUT:{e}") from e
-        if not isinstance(given, dict):
-            raise EngineError("INVALID_QUERY_INPUT")
-        for name in {i for r in self.manifest.reads[endpoint] for _, i in r.bindings}:
-            if (name in before) != (name in given) or name in before and canonical(before[name]) != canonical(given[name]):
-                raise EngineError(f"QUERY_INPUT_PRESERVATION_VIOLATION:{name}")
-        return given
-
     def snapshot(self) -> dict[str, DataFrame]:
         """The tables' present versions; later commands do not change them."""
         with self.lock:
             return dict(self.tables)
 
+    def _bound(self, endpoint: str) -> set[str]:
+        return {i for r in self.manifest.reads[endpoint] for _, i in r.bindings}
+
     def _run(self, endpoint: str, inputs: dict | None):
-        given = self._input(endpoint, inputs)
+        """Inputs that bind must pass parsing unchanged, the endpoint's own and that of those it calls."""
+        bound = {e: self._bound(e) for e in self.queries}
+        fields = None if endpoint in self.opaque else frozenset(bound[endpoint])
+        given = parsed(self.parse.get(endpoint), dict(inputs or {}), fields)
         tables = {n: filtered(df, n, self.policies) for n, df in self.snapshot().items()}
-        return Builder(self.spark, tables, self.resources, self.queries).run(self.queries[endpoint], given)
+        return Builder(self.spark, tables, self.resources, self.queries, parse=self.parse, bound=bound, opaque=self.opaque).run(self.queries[endpoint], given, fields)
 
     def query(self, endpoint: str, inputs: dict | None = None):
         """The plan's DataFrame over the tables' present versions. Bound inputs must pass parsing unchanged."""

@@ -168,7 +168,7 @@ def validate_resources(resources: list[Resource], limits: Limits = Limits()) ->
     for r in out.values():
         for cascade in r.cascades:
             child = out.get(cascade[0])
-            if child is None or not set(foreign(cascade)) <= set(child.columns) or len(foreign(cascade)) != len(r.identity or ()):
+            if child is None or not set(foreign(cascade)) <= set(child.columns):
                 raise EngineError("INVALID_CASCADE")
     state: dict[str, int] = {}
 
@@ -183,4 +183,6 @@ def validate_resources(resources: list[Resource], limits: Limits = Limits()) ->
 
     for name in out:
         visit(name)
+    if any(len(foreign(c)) != len(r.identity or ()) for r in out.values() for c in r.cascades):
+        raise EngineError("INVALID_CASCADE")
     return out

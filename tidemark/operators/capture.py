@@ -19,7 +19,10 @@ STATE = "struct<kind:string,scope:string,fields:map<string,string>,equality:map<
 FACTS = f"fact string, resource string, op string, changed array<string>, before {STATE}, after {STATE}"
 STATES = "fact string, resource string, op string, side string, kind string, scope string, fields map<string,string>, equality map<string,string>, changed array<string>"
 OPS = ("insert", "update", "delete", "unknown")
-NONE = F.lit(None)
+
+
+def _none() -> Column:
+    return F.lit(None)
 
 
 def observed(resource: Resource, manifest: Manifest) -> list[str]:
@@ -51,19 +54,19 @@ class Encoder:
     def state(self, prefix: str = "") -> Column:
         """Rows of which an observed value is no scalar are unknown."""
         if self.opaque:
-            return F.struct(F.lit("unknown").alias("kind"), *(NONE.cast(t).alias(n) for n, t in (("scope", "string"), ("fields", "map<string,string>"), ("equality", "map<string,string>")))).cast(STATE)
+            return F.struct(F.lit("unknown").alias("kind"), *(_none().cast(t).alias(n) for n, t in (("scope", "string"), ("fields", "map<string,string>"), ("equality", "map<string,string>")))).cast(STATE)
         certified = [c for c in self.columns if isinstance(self.kinds[c], CERTIFIED)]
-        scope = self.text(self.resource.scope, prefix) if self.resource.scope else NONE.cast("string")
+        scope = self.text(self.resource.scope, prefix) if self.resource.scope else _none().cast("string")
         return F.struct(F.lit("known").alias("kind"), scope.alias("scope"), self._map(self.columns, prefix).alias("fields"), self._map(certified, prefix).alias("equality")).cast(STATE)
 
     def facts(self, df: DataFrame, op: str, *, before: str | None = None, after: str | None = None, changed: Column | None = None) -> DataFrame:
         """before, after: the prefix of that side's columns, or None where it is absent."""
         named = before if before is not None else after
         key = [F.when(F.col(named + c).isNull(), "null").otherwise(F.col(named + c).cast("string") if not isinstance(self.kinds[c], NESTED) else F.to_json(F.array(named + c))) for c in self.resource.identity or ()]
-        absent = NONE.cast(STATE)
+        absent = _none().cast(STATE)
         return df.select(
             F.concat_ws(":", F.lit(self.resource.id), F.lit(op), *key).alias("fact"), F.lit(self.resource.id).alias("resource"), F.lit(op).alias("op"),
-            (changed if changed is not None else NONE).cast("array<string>").alias("changed"),
+            (changed if changed is not None else _none()).cast("array<string>").alias("changed"),
             (self.state(before) if before is not None else absent).alias("before"), (self.state(after) if after is not None else absent).alias("after"),
         )
 
@@ -131,7 +134,7 @@ def states(facts: DataFrame) -> DataFrame:
 
 def uncertified(facts: DataFrame, certified: list[str]) -> DataFrame:
     """Facts without proof of equality for resources that are not in `certified`."""
-    bare = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.col(f"{s}.kind"), F.col(f"{s}.scope"), F.col(f"{s}.fields"), NONE.cast("map<string,string>").alias("equality")).cast(STATE))
+    bare = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.col(f"{s}.kind"), F.col(f"{s}.scope"), F.col(f"{s}.fields"), _none().cast("map<string,string>").alias("equality")).cast(STATE))
     known = F.col("resource").isin(certified)
     return facts.withColumns({s: F.when(known, F.col(s)).otherwise(bare(s)) for s in ("before", "after")})
 
@@ -214,7 +217,7 @@ def summarised(facts: DataFrame, resources: list[str] | int, limits: Limits = Li
     j = side.join(shared("fields"), ["resource", "side"], "left").join(shared("equality"), ["resource", "side"], "left").join(proven, ["resource", "side"])
     unknown = (F.col("lost") == 1) | (F.col("low") != F.col("high"))
     known = F.struct(F.lit("known").alias("kind"), "scope", F.coalesce("fields", empty).alias("fields"), F.when(~F.col("unproven"), F.coalesce("equality", empty)).alias("equality")).cast(STATE)
-    blank = F.struct(F.lit("unknown").alias("kind"), NONE.cast("string").alias("scope"), NONE.cast("map<string,string>").alias("fields"), NONE.cast("map<string,string>").alias("equality")).cast(STATE)
+    blank = F.struct(F.lit("unknown").alias("kind"), _none().cast("string").alias("scope"), _none().cast("map<string,string>").alias("fields"), _none().cast("map<string,string>").alias("equality")).cast(STATE)
     one = j.select("resource", "side", F.when(unknown, blank).otherwise(known).alias("s"))
     wide = one.groupBy("resource").agg(F.first(F.when(F.col("side") == "before", F.col("s")), True).alias("before"), F.first(F.when(F.col("side") == "after", F.col("s")), True).alias("after"))
     ops = many.groupBy("resource").agg(F.count_distinct("op").alias("ops"), F.min("op").alias("one"), F.max(F.col("changed").isNull()).alias("any"))
@@ -229,10 +232,10 @@ def _bounded(short: DataFrame, limits: Limits) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
 
     def stripped(s: str) -> Column:
-        return F.when(F.col(f"{s}.kind") == "known", F.struct(F.col(f"{s}.kind"), F.col(f"{s}.scope"), empty.alias("fields"), NONE.cast("map<string,string>").alias("equality")).cast(STATE)).otherwise(F.col(s))
+        return F.when(F.col(f"{s}.kind") == "known", F.struct(F.col(f"{s}.kind"), F.col(f"{s}.scope"), empty.alias("fields"), _none().cast("map<string,string>").alias("equality")).cast(STATE)).otherwise(F.col(s))
 
     def lost(s: str) -> Column:
-        return F.when(F.col(s).isNotNull(), F.struct(F.lit("unknown").alias("kind"), NONE.cast("string").alias("scope"), NONE.cast("map<string,string>").alias("fields"), NONE.cast("map<string,string>").alias("equality")).cast(STATE))
+        return F.when(F.col(s).isNotNull(), F.struct(F.lit("unknown").alias("kind"), _none().cast("string").alias("scope"), _none().cast("map<string,string>").alias("fields"), _none().cast("map<string,string>").alias("equality")).cast(STATE))
 
     large = short.withColumn("__large", size > limits.summary_bytes)
     large = large.withColumns({s: F.when(F.col("__large"), stripped(s)).otherwise(F.col(s)) for s in ("before", "after")}).withColumn("changed", F.when(~F.col("__large"), F.col("changed")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EngineError, Resource
+from .inputs import parsed
 
 
 @dataclass(frozen=True)
@@ -158,10 +159,15 @@ def not_(part) -> Logic:
 
 
 class Builder:
-    """Builds plans over one version of the tables."""
+    """Builds plans over one version of the tables.
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], resources: dict[str, Resource], queries: dict[str, Any] | None = None):
+    parse: the parse functions of endpoints that a plan may call; bound: the inputs that bind, by endpoint;
+    opaque: endpoints whose inputs need not come through parsing unchanged.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], resources: dict[str, Resource], queries: dict[str, Any] | None = None, *, parse: dict[str, Callable] | None = None, bound: dict[str, set[str]] | None = None, opaque: frozenset[str] = frozenset()):
         self.spark, self.tables, self.resources, self.queries = spark, tables, resources, queries or {}
+        self.parse, self.bound, self.opaque = parse or {}, bound or {}, opaque
 
     @staticmethod
     def resolve(value, inputs: dict, field: str):
@@ -302,7 +308,21 @@ class Builder:
             df = df.limit(limit)
         return df.select(*(s.columns or self.resources[s.resource].columns), *[j.name for j in s.joins if not j.required])
 
-    def run(self, plan, inputs: dict):
+    def _call(self, plan: Call, inputs: dict, carried: frozenset[str] | None):
+        """The called endpoint over its own parse of the inputs.
+
+        carried: inputs of the endpoint asked for that must reach the rows unchanged; None once a mapping
+        has widened the path, below which nothing is checked again.
+        """
+        if plan.endpoint not in self.queries:
+            raise EngineError("Query missing")
+        own = plan.inputs is None and plan.endpoint not in self.opaque and carried is not None
+        fields = carried | self.bound.get(plan.endpoint, set()) if own else None
+        given = parsed(self.parse.get(plan.endpoint), dict(plan.inputs(inputs) if plan.inputs else inputs), fields)
+        return self.run(self.queries[plan.endpoint], given, fields)
+
+    def run(self, plan, inputs: dict, carried: frozenset[str] | None = frozenset()):
+        again = lambda p: self.run(p, inputs, carried)
         if isinstance(plan, Select):
             return self.select(plan, inputs)
         if isinstance(plan, Count):
@@ -312,24 +332,22 @@ class Builder:
         if isinstance(plan, Value):
             return plan.value
         if isinstance(plan, Call):
-            if plan.endpoint not in self.queries:
-                raise EngineError("Query missing")
-            return self.run(self.queries[plan.endpoint], plan.inputs(inputs) if plan.inputs else inputs)
+            return self._call(plan, inputs, carried)
         if isinstance(plan, Combine):
-            return {name: self.run(p, inputs) for name, p in plan.parts}
+            return {name: again(p) for name, p in plan.parts}
         if isinstance(plan, When):
-            return self.run(plan.yes if plan.test(inputs) else plan.no, inputs)
+            return again(plan.yes if plan.test(inputs) else plan.no)
         if isinstance(plan, Bind):
-            given = plan.inputs(self.run(plan.parent, inputs), inputs)
-            return [] if given is None else self.run(plan.child, given)
+            given = plan.inputs(again(plan.parent), inputs)
+            return [] if given is None else self.run(plan.child, given, None)
         if isinstance(plan, Map):
-            return plan.project(self.run(plan.source, inputs))
+            return plan.project(again(plan.source))
         if isinstance(plan, Choose):
             choices = dict(plan.choices)
             name = plan.pick(inputs)
             if name not in choices:
                 raise EngineError("Unregistered query choice")
-            return self.run(choices[name], inputs)
+            return again(choices[name])
         if isinstance(plan, Sql):
             for name, df in self.tables.items():
                 df.createOrReplaceTempView(name)
