@@ -1,18 +1,18 @@
 """Exact top-k search by inner product with a KD-tree per shard.
 
-Candidates are dealt by hash into shards of bounded size. A shard builds a KD-tree by median splits of the
-widest dimension and keeps a tight bounding box at every node. A block of queries walks a tree best first:
-a node's bound is the largest inner product that its box allows, and a node is opened only while that
-bound can still reach the k-th score known so far. That score is propagated: every query first searches
-one shard, its home, and takes the k-th score found there into all other shards.
+Candidates are dealt by hash into shards of bounded size. A shard turns its vectors to their principal
+axes, builds a KD-tree there by median splits of the widest dimension, and keeps a tight bounding box at
+every node. A query goes through a tree's leaves best first, by the largest inner product that the boxes
+above a leaf allow, and stops where that bound can no longer reach the k-th score known so far. Queries
+are searched many at a time: all take their next leaves together, and a leaf meets those that want it in
+one product of matrices. The k-th score is propagated: every query first searches one shard, its home, and
+takes the k-th score found there into all other shards.
 
 Vectors are quantised to integers, so scores are exact; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,68 +20,90 @@ from pyspark.sql import functions as F
 from . import common
 
 FOUND = "query_id long, vec_id long, score long"
+#: Leaves that a query takes at once; each burst is twice as long as the one before, up to the last.
+BURSTS = (1, 2, 4, 8)
 
 
 class Tree:
     """Leaves hold runs of `rows`; node i has the children 2i+1 and 2i+2."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, leaf: int = 256):
-        depth = max(0, int(np.ceil(np.log2(max(1, len(rows)) / leaf))))
-        order = np.lexsort((ids,))
-        runs = [np.array(order)]
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, leaf: int = 128):
+        self.rows, self.ids, self.axes = rows, ids, self._axes(rows)
+        turned = rows @ self.axes
+        depth = max(0, int(np.ceil(np.log2(max(1, len(rows)) / leaf)))) if rows.shape[1] else 0
+        runs = [np.arange(len(rows))]
         for _ in range(depth):
             split = []
             for run in runs:
-                part = rows[run]
+                part = turned[run]
                 axis = int(np.argmax(part.max(0) - part.min(0))) if len(run) else 0
                 half = len(run) // 2
                 cut = np.argpartition(part[:, axis], half) if half else np.arange(len(run))
                 split += [run[cut[:half]], run[cut[half:]]]
             runs = split
-        self.first_leaf = len(runs) - 1
-        self.runs = [np.sort(r) for r in runs]
-        dim = rows.shape[1]
-        self.lo, self.hi = np.full((2 * len(runs) - 1, dim), np.inf), np.full((2 * len(runs) - 1, dim), -np.inf)
-        for k, run in enumerate(self.runs):
+        self.first_leaf, self.runs = len(runs) - 1, runs
+        nodes, dim = 2 * len(runs) - 1, rows.shape[1]
+        self.lo, self.hi = np.full((nodes, dim), np.inf), np.full((nodes, dim), -np.inf)
+        for k, run in enumerate(runs):
             if len(run):
-                self.lo[self.first_leaf + k], self.hi[self.first_leaf + k] = rows[run].min(0), rows[run].max(0)
+                self.lo[self.first_leaf + k], self.hi[self.first_leaf + k] = turned[run].min(0), turned[run].max(0)
         for i in range(self.first_leaf - 1, -1, -1):
             self.lo[i] = np.minimum(self.lo[2 * i + 1], self.lo[2 * i + 2])
             self.hi[i] = np.maximum(self.hi[2 * i + 1], self.hi[2 * i + 2])
-        self.empty = np.isinf(self.lo[:, 0])
+        self.empty = np.isinf(self.lo).any(1)
         self.lo[self.empty] = self.hi[self.empty] = 0
-        self.rows, self.ids = rows, ids
+        #: The longest row: what turning and summing can be out by grows with it.
+        self.reach = float(np.sqrt((rows.astype(np.float64) ** 2).sum(1).max(initial=0)))
+
+    @staticmethod
+    def _axes(rows: np.ndarray) -> np.ndarray:
+        if len(rows) < 2 or not rows.shape[1]:
+            return np.eye(rows.shape[1])
+        middle = rows - rows.mean(0)
+        return np.linalg.eigh(middle.T @ middle)[1]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Queries by nodes: no row under the node scores higher."""
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        out = up @ self.hi.T + down @ self.lo.T
+        """Queries by nodes: no row under the node scores higher. A node's bound is never above its parent's."""
+        turned = queries @ self.axes
+        out = np.maximum(turned, 0) @ self.hi.T + np.minimum(turned, 0) @ self.lo.T
+        out += 1e-9 * (1 + self.reach * np.sqrt((queries**2).sum(1)))[:, None]
         out[:, self.empty] = -np.inf
+        for i in range(1, out.shape[1]):
+            np.minimum(out[:, i], out[:, (i - 1) // 2], out=out[:, i])
         return out
 
-    def search(self, query: np.ndarray, query_id: int, bound: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """Up to k (score, id) that reach `floor`, best first; the query's own id takes no part."""
-        scores, ids = np.zeros(0), np.zeros(0, np.int64)
-        open_nodes = [(-bound[0], 0)]
-        while open_nodes:
-            most, node = heapq.heappop(open_nodes)
-            if -most < floor:
+    def search(self, queries: np.ndarray, names: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's position, id, score) of the k best rows of each query that reach its floor; its own id takes no part."""
+        leaf_bounds = self.bounds(queries)[:, self.first_leaf :]
+        order = np.argsort(-leaf_bounds, axis=1, kind="stable")
+        ranked = np.take_along_axis(leaf_bounds, order, 1)
+        floors = floors.astype(np.float64).copy()
+        who, ids, scores = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        at, step = 0, 0
+        while at < order.shape[1]:
+            to = min(at + BURSTS[min(step, len(BURSTS) - 1)], order.shape[1])
+            asks, places = np.nonzero((ranked[:, at:to] >= floors[:, None]) & (ranked[:, at:to] > -np.inf))
+            if not len(asks):
                 break
-            if node < self.first_leaf:
-                for child in (2 * node + 1, 2 * node + 2):
-                    if bound[child] >= floor:
-                        heapq.heappush(open_nodes, (-bound[child], child))
-                continue
-            run = self.runs[node - self.first_leaf]
-            got = self.rows[run] @ query
-            keep = (got >= floor) & (self.ids[run] != query_id)
-            scores, ids = np.concatenate([scores, got[keep]]), np.concatenate([ids, self.ids[run][keep]])
-            if len(scores) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[best], ids[best]
-            if len(scores) == k:
-                floor = max(floor, scores.min())
-        return [(int(s), int(i)) for s, i in zip(scores, ids, strict=True)]
+            leaves = order[asks, at + places]
+            by_leaf = np.argsort(leaves, kind="stable")
+            asks, leaves = asks[by_leaf], leaves[by_leaf]
+            edges = np.flatnonzero(np.diff(leaves, prepend=-1, append=-1))
+            new = [(who, ids, scores)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                run, some = self.runs[leaves[a]], asks[a:b]
+                got = queries[some] @ self.rows[run].T
+                q, r = np.nonzero((got >= floors[some][:, None]) & (self.ids[run][None, :] != names[some][:, None]))
+                new.append((some[q], self.ids[run][r], got[q, r]))
+            who, ids, scores = (np.concatenate([x[i] for x in new]) for i in range(3))
+            best = np.lexsort((ids, -scores, who))
+            who, ids, scores = who[best], ids[best], scores[best]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            who, ids, scores, rank = who[rank < k], ids[rank < k], scores[rank < k], rank[rank < k]
+            full = rank == k - 1
+            floors[who[full]] = np.maximum(floors[who[full]], scores[full])
+            at, step = to, step + 1
+        return who, ids, scores
 
 
 def quantised(vectors: DataFrame, *, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -92,42 +114,55 @@ def quantised(vectors: DataFrame, *, id_col: str, vector_col: str, scale: int) -
     return kept.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
-def _walk(k: int):
-    """Rows of one block and shard come as (part, shard, block, is_query, vec_id, v, floor)."""
+def _matrix(column) -> np.ndarray:
+    """Rows of equally long lists."""
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+
+
+def _walk(k: int, most: int = 512):
+    """Rows come as (dim, shard, block, is_query, vec_id, v, floor), sorted by the first four: a shard's rows, then the block's queries."""
 
-    def walk(key, rows):
+    def walk(batches):
         import pyarrow as pa
 
         kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        is_query = rows.column("is_query").to_numpy()
-        ids, floors = rows.column("vec_id").to_numpy(), rows.column("floor").to_numpy()
-        matrix = np.array(rows.column("v").to_pylist(), dtype=np.float64)
-        out: dict[str, list[int]] = {"query_id": [], "vec_id": [], "score": []}
-        if is_query.any() and not is_query.all():
-            tree = Tree(matrix[~is_query], ids[~is_query])
-            queries, names = matrix[is_query], ids[is_query]
-            for at in range(0, len(queries), 512):
-                bounds = tree.bounds(queries[at : at + 512])
-                for q, name, bound, floor in zip(queries[at : at + 512], names[at : at + 512].tolist(), bounds, floors[is_query][at : at + 512].tolist(), strict=True):
-                    for score, vec in tree.search(q, name, bound, k, floor):
-                        out["query_id"].append(name)
-                        out["vec_id"].append(vec)
-                        out["score"].append(score)
-        return pa.Table.from_pydict(out, schema=kind)
+        now, parts, tree = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
+            edges = [0, *(np.flatnonzero(np.diff(keys, axis=0).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                group = tuple(keys[a, :3].tolist())
+                if group != now:
+                    now, parts, tree = group, [], None
+                ids, vectors = batch.column(4).slice(a, b - a).to_numpy(), _matrix(batch.column(5).slice(a, b - a))
+                if not keys[a, 3]:
+                    parts.append((ids, vectors))
+                    continue
+                if tree is None:
+                    if not parts:
+                        continue
+                    tree, parts = Tree(np.concatenate([v for _, v in parts]), np.concatenate([i for i, _ in parts])), []
+                floors = batch.column(6).slice(a, b - a).to_numpy()
+                for at in range(0, b - a, most):
+                    who, found, scores = tree.search(vectors[at : at + most], ids[at : at + most], floors[at : at + most], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + most][who]), pa.array(found), pa.array(scores.astype(np.int64))], schema=kind)
 
     return walk
 
 
-def top_k(vectors: DataFrame, *, query_filter, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, shard_rows: int = 16384, block_rows: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, *, query_filter, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, shard_rows: int = 16384, block_rows: int = 65536, most_tasks: int = 65_536) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query its k highest integer inner products.
 
     query_filter: a condition over vec_id that picks the queries from the rows. Vectors must have one
     length; others than the commonest have no inner product with it and are searched among their own.
     An id that occurs on several rows is a query for each distinct vector of it (merged by id) and a
-    candidate as often as it occurs, never for its own id. Scores stay exact up to 2^53. Empty tables
-    give no rows.
+    candidate as often as it occurs, never for its own id. Scores stay exact up to 2^53. Empty vectors
+    score 0 with one another; empty tables give no rows.
 
-    Every block of queries meets every shard once: a stated query set against all rows, in blocks.
+    Every block of `block_rows` queries meets every shard once: a stated query set against all rows, in
+    blocks. A task holds one shard's rows and 512 queries at a time.
     """
     spark = vectors.sparkSession
     work = common.Workspace(spark, "top-k")
@@ -139,12 +174,15 @@ def top_k(vectors: DataFrame, *, query_filter, k: int = 20, id_col: str = "vec_i
     placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit("home")), F.lit(shards)).cast("int"))
+    keys = ["dim", "shard", "block", "is_query"]
+    tasks = min(shards * blocks, most_tasks)
 
     def search(asks: DataFrame) -> DataFrame:
         """asks: vec_id, v, dim, shard, block, floor."""
         both = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", "shard", "block", F.lit(False).alias("is_query"), "vec_id", "v", F.lit(float("-inf")).alias("floor"))
         both = both.unionByName(asks.select("dim", "shard", "block", F.lit(True).alias("is_query"), "vec_id", "v", "floor"))
-        return both.groupBy("dim", "shard", "block").applyInArrow(_walk(k), FOUND)
+        task = F.pmod(F.col("shard").cast("long") * blocks + F.col("block"), F.lit(tasks)).cast("int")
+        return both.repartitionById(tasks, task).sortWithinPartitions(*keys).select(*keys, "vec_id", "v", "floor").mapInArrow(_walk(k), FOUND)
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     near = work.keep(search(asked.select("vec_id", "v", "dim", F.col("home").alias("shard"), "block", F.lit(float("-inf")).alias("floor"))), "home")
