@@ -72,7 +72,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
 
     Rows of equal id and text draw alike, since the draw is hashed from them; null ids and texts hash as
     empty strings; an empty table gives no rows. Columns of `docs` with the names of the added ones are
-    replaced by those. The result is range-partitioned by `mix_order`.
+    replaced by those. `mix_order` is uniform in [0, 1), so partition i of n takes the orders from i / n
+    on, and the partitions together are in the order of `mix_order`.
 
     The sources' rates are written first, so that Spark knows their size: it broadcasts them below its
     own threshold and else joins by shuffling.
@@ -87,7 +88,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     counted = drawn.withColumn("repetitions", count).drop("__source", "__first", "__steps", "__u").filter("repetitions > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repetitions"))))
     shuffled = copies.withColumn("mix_order", unit_hash(F.lit(f"{seed}:order"), *ident[1:], F.col("copy").cast("string")))
-    return shuffled.repartitionByRange("mix_order").sortWithinPartitions("mix_order")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shuffled.repartitionById(parts, F.floor(F.col("mix_order") * parts).cast("int")).sortWithinPartitions("mix_order")
 
 
 def mix_sql(*, temperature: float = 0.5, seed: int = 7, columns: str = "doc_id, source, repetitions, copy, mix_order, n_chars", docs: str = "documents") -> str:
@@ -101,16 +103,18 @@ WITH RECURSIVE sizes AS (
   SELECT source, chars, CASE WHEN chars > 0 THEN pow(CAST(chars AS DOUBLE), {temperature}) ELSE 0.0 END AS share FROM sizes
 ), rates AS (
   SELECT source, CASE WHEN chars > 0 THEN round(share / (SELECT sum(share) FROM shares) * (SELECT CAST(sum(chars) AS DOUBLE) FROM shares) / chars, 9) ELSE 1.0 END AS rate FROM shares
+), begins AS (
+  SELECT source, rate, rate > {MOST} AS large, CASE WHEN rate > {MOST} THEN CAST(floor(rate - 12 * sqrt(rate) - 30) AS BIGINT) ELSE 0 END AS k, CASE WHEN rate > {MOST} THEN 1.0 ELSE exp(-rate) END AS p FROM rates
 ), steps AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cum FROM rates
+  SELECT source, rate, large, k, k AS first, CAST(p AS DOUBLE) AS p, CAST(p AS DOUBLE) AS cum FROM begins
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), cum + p * rate / (k + 1) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
+  SELECT source, rate, large, k + 1, first, p * rate / (k + 1), cum + p * rate / (k + 1) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
 ), ladder AS (
-  SELECT source, list(cum) AS steps FROM steps GROUP BY source
+  SELECT source, min(first) AS first, CASE WHEN bool_or(large) THEN [c / list_aggregate(list(cum), 'max') FOR c IN list(cum)] ELSE list(cum) END AS steps FROM steps GROUP BY source
 ), drawn AS (
-  SELECT d.*, {ident} AS ident, l.steps, {unit.format(f"'{seed}:' || {ident}")} AS u FROM {docs} d JOIN ladder l ON d.source IS NOT DISTINCT FROM l.source
+  SELECT d.*, {ident} AS ident, l.first, l.steps, {unit.format(f"'{seed}:' || {ident}")} AS u FROM {docs} d JOIN ladder l ON d.source IS NOT DISTINCT FROM l.source
 ), counted AS (
-  SELECT *, CAST(len([s FOR s IN steps IF s <= u]) AS INTEGER) AS repetitions FROM drawn
+  SELECT *, CAST(first + len([s FOR s IN steps IF s <= u]) AS INTEGER) AS repetitions FROM drawn
 ), copies AS (
   SELECT *, unnest(range(1, repetitions + 1)) AS c FROM counted WHERE repetitions > 0
 ), mixed AS (
