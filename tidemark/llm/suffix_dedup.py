@@ -7,10 +7,14 @@ trigger. So a window lies in one phrase, and equal windows have equal triggers a
 The parse is the sequence of phrases. Phrases whose core (the 116 bytes to the right, or 84 to the left and
 the trigger, that all their windows share) occurs once in the corpus hold no repeated window and are left
 at once. The others make the dictionary: each distinct phrase once, with its number of occurrences.
-A shard of the dictionary is put in order twice: the suffix array of the dictionary orders what lies left
-of the triggers, read backwards, and the suffix array of the parse orders what follows from the triggers
-on. With the lengths of common prefixes in both orders, a window (left part, right part) gets the pair of
-its classes, which is its place in the corpus order; windows of one pair are equal, byte for byte.
+
+A shard of the dictionary holds all phrases of its cores. It is put in order twice: by what lies left of the
+triggers, read backwards, and by what follows from the triggers on, each to a depth of `length` bytes. With
+the lengths of common prefixes in both orders, a window (left part, right part) gets the pair of its
+classes; windows of one pair are equal, byte for byte. The textbook's suffix arrays over all suffixes of
+the dictionary and over the whole parse are not built: they would give the corpus order of every byte, at
+16 bytes and more of shuffle for each, and a window of fixed length needs only the order of its two
+parts, which these sorted contexts are.
 """
 
 from __future__ import annotations
@@ -24,9 +28,14 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM = 32
+#: Parts in which the occurrences of a frequent core are looked up, and how many cores may count as frequent.
+SALT = 32
+FREQUENT = 100_000
+#: A phrase's place in one number: its first window, the number of its windows, and its trigger's distance from the first.
+FIELD = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-KEYED = "row long, key long, lo int, hi int, at int"
-PHRASES = "row long, key long, lo int, n int, at int, phrase binary, bytes binary"
+KEYED = "id long, row long, key long, place long"
+PHRASES = "id long, row long, key long, lo int, n int, at int, phrase binary, bytes binary"
 REPEATED = "key long, phrase binary, runs array<struct<a:int,b:int>>"
 
 
@@ -108,33 +117,34 @@ def _batches(column, most: int = 2 << 20):
 
 
 def parse(docs: DataFrame, length: int) -> DataFrame:
-    """docs: row, text. The parse: a row for every phrase, without its bytes."""
+    """docs: id, row, text. The parse: a row for every phrase, without its bytes."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for a, b, texts in _batches(batch.column(1)):
+            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b, texts in _batches(batch.column(2)):
                 text, lo, hi, at, key = triggers(texts, length)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[a:b][text]), pa.array(key.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, at))], names=["row", "key", "lo", "hi", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text]), pa.array(rows[a:b][text]), pa.array(key.astype(np.int64)), pa.array(lo << 2 * FIELD | hi - lo + 1 << FIELD | at - lo)], names=["id", "row", "key", "place"])
 
     return docs.mapInArrow(run, KEYED)
 
 
 def phrases(found: DataFrame, length: int) -> DataFrame:
-    """found: row, text, marks (key, lo, hi, at). Each marked phrase with its bytes and their digest."""
+    """found: id, row, text, marks (key, place). Each marked phrase with its bytes and their digest."""
 
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("phrase", pa.binary()), ("bytes", pa.binary())])
+        kind = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("phrase", pa.binary()), ("bytes", pa.binary())])
         for batch in batches:
             out, held = [], 0
-            for row, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast("binary").to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for id_, row, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast("binary").to_pylist(), batch.column(3).to_pylist(), strict=True):
                 for m in marks:
-                    part = text[m["lo"] : m["hi"] + length]
-                    out.append((row, m["key"], m["lo"], m["hi"] - m["lo"] + 1, m["at"] - m["lo"], hashlib.blake2b(part, digest_size=16).digest(), part))
+                    lo, n, at = m["place"] >> 2 * FIELD, m["place"] >> FIELD & (1 << FIELD) - 1, m["place"] & (1 << FIELD) - 1
+                    part = text[lo : lo + n - 1 + length]
+                    out.append((id_, row, m["key"], lo, n, at, hashlib.blake2b(part, digest_size=16).digest(), part))
                     held += len(part)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
@@ -227,14 +237,14 @@ def order_shards(dictionary: DataFrame, length: int, most: int = 20_000) -> Data
 
 
 def _cover(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """rows: row, text, windows (array of first and last window start). n_removed, n_spans and kept_sha256, or the kept bytes too."""
+    """rows: id, row, text, windows (array of first and last window start). n_removed, n_spans and kept_sha256, or the kept bytes too."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for row, text, windows in zip(batch.column(0).to_pylist(), batch.column(1).cast("binary").to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for id_, row, text, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast("binary").to_pylist(), batch.column(3).to_pylist(), strict=True):
                 kept, at, removed, spans, end = [], 0, 0, 0, -1
                 for a, b in sorted((w["a"], w["b"] + length) for w in windows):
                     if a > end:
@@ -248,11 +258,11 @@ def _cover(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
                         end = at = b
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                out.append((row, removed, spans, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["row", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((id_, row, removed, spans, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["id", "row", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.mapInArrow(run, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(run, "id long, row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 200, with_text: bool = False) -> DataFrame:
@@ -262,18 +272,28 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, with_text: bool = Fals
     the same text or another. Null and empty texts lose nothing; of repeated rows with `length` bytes or
     more every row loses all; an empty table gives no rows. length: 64 bytes at least.
 
-    Rows are told apart by a 64-bit hash of id and text; rows that share both share their result.
+    Rows are told apart by their id and a 64-bit hash of their text; only rows of one id could share both
+    by accident. A null id counts as the smallest long here. A text's arrays take about 80 bytes of memory
+    for each of its bytes, in one task.
+
+    The places of a frequent core are looked up in `SALT` parts. Frequent are those with more than 4,096
+    places and more than the FREQUENT-th part of all places, so there are at most FREQUENT of them and they
+    are broadcast. Everything beyond that join works on distinct phrases.
     """
-    if length < 2 * GRAM:
-        raise ValueError("length must be 64 at least")
+    if not 2 * GRAM <= length < 1 << FIELD:
+        raise ValueError("length must be 64 at least and below 65536")
     work = common.Workspace(docs.sparkSession, "suffix-dedup")
-    named = common.texts(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    long_ = named.select("row", "text").filter(F.octet_length("text") >= length)
+    named = common.texts(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("row"), "doc_id", "text")
+    long_ = named.select("id", "row", "text").filter(F.octet_length("text") >= length)
     marks = parse(long_, length)
-    often = marks.select("key").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    found = marks.join(often, "key").groupBy("row").agg(F.collect_set(F.struct("key", "lo", "hi", "at")).alias("marks"))
-    found = work.keep(found, "marks")
-    held = work.keep(long_.join(found, "row").select("row", "text", "marks"), "texts")
+    often = work.keep(marks.select("key").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "often")
+    places = often.agg(F.sum("c")).first()[0] or 0
+    frequent = F.broadcast(often.filter(F.col("c") > max(4096, places // FREQUENT)).select("key", F.lit(True).alias("frequent")))
+    parts = F.when(F.col("frequent"), F.pmod(F.xxhash64("id", "row"), F.lit(SALT)).cast("int")).otherwise(0)
+    salted = often.join(frequent, "key", "left").select("key", F.explode(F.when(F.col("frequent"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    met = marks.join(frequent, "key", "left").withColumn("salt", parts).drop("frequent").join(salted, ["key", "salt"])
+    found = work.keep(met.groupBy("id", "row").agg(F.collect_set(F.struct("key", "place")).alias("marks")), "marks")
+    held = work.keep(long_.join(found, ["id", "row"]).select("id", "row", "text", "marks"), "texts")
 
     occurrence = phrases(held, length)
     dictionary = occurrence.groupBy("key", "phrase").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
@@ -283,12 +303,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, with_text: bool = Fals
     shards = dictionary.join(crowd, "key").repartition(tasks, "key").sortWithinPartitions("key", "phrase")
     repeated = work.keep(order_shards(shards, length), "repeated")
 
-    hit = phrases(held, length).select("row", "key", "lo", "phrase").join(repeated, ["key", "phrase"])
-    windows = hit.select("row", F.explode(F.transform("runs", lambda r: F.struct((r["a"] + F.col("lo")).alias("a"), (r["b"] + F.col("lo")).alias("b")))).alias("w"))
-    windows = work.keep(windows.groupBy("row").agg(F.collect_set("w").alias("windows")), "windows")
-    lost = _cover(held.select("row", "text").join(windows, "row").select("row", "text", "windows"), length, with_text).dropDuplicates(["row"])
+    hit = phrases(held, length).select("id", "row", "key", "lo", "phrase").join(repeated, ["key", "phrase"])
+    windows = hit.select("id", "row", F.explode(F.transform("runs", lambda r: F.struct((r["a"] + F.col("lo")).alias("a"), (r["b"] + F.col("lo")).alias("b")))).alias("w"))
+    windows = work.keep(windows.groupBy("id", "row").agg(F.collect_set("w").alias("windows")), "windows")
+    lost = _cover(held.select("id", "row", "text").join(windows, ["id", "row"]).select("id", "row", "text", "windows"), length, with_text).dropDuplicates(["id", "row"])
 
-    whole = named.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("all_sha256"), *([F.col("text").cast("binary").alias("all_bytes")] if with_text else []))
-    out = whole.join(lost, "row", "left")
+    whole = named.select("id", "row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("all_sha256"), *([F.col("text").cast("binary").alias("all_bytes")] if with_text else []))
+    out = whole.join(lost, ["id", "row"], "left")
     shown = [F.coalesce("kept", "all_bytes").alias("kept")] if with_text else []
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"), *shown)
