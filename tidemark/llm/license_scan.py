@@ -4,8 +4,9 @@ Every run of two words of a text is hashed and joined with the places where the
 match votes for the diagonal (place in the text minus place in the template). Votes are summed by
 diagonal, neighbouring diagonals are merged (words put in or left out shift the diagonal), and a merged
 span is a candidate if it covers enough of its template. A candidate's matches are then aligned with the
-template: chains of matches that rise in both, with all words that tell the template's licence from its
-relatives and none of the words that make it another one.
+template: chains of matches that rise in both, in a span of the text that is not much longer than the
+template, with all words that tell the template's licence from its relatives and none of the words that
+make it another one. Templates may have any length; beside notices there are the whole short licences.
 """
 
 from __future__ import annotations
@@ -48,9 +49,16 @@ NOTICES = {
     "cc-by-sa-short": "Licensed under CC BY-SA 4.0",
     "cc-by-nc-long": "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
     "lgpl": "GNU Lesser General Public License",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "apache-text": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
+    "mpl-text": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 #: Labels of notices that are further wordings of a licence.
-SAME = {"released-mit": "mit", "licensed-apache": "apache", "gpl-3": "gpl", "cc-by-sa-short": "cc-by-sa", "cc-by-nc-long": "cc-by-nc"}
+SAME = {"released-mit": "mit", "licensed-apache": "apache", "gpl-3": "gpl", "cc-by-sa-short": "cc-by-sa", "cc-by-nc-long": "cc-by-nc", "mit-text": "mit", "bsd-text": "bsd", "isc-text": "isc", "apache-text": "apache", "gpl-text": "gpl", "mpl-text": "mpl", "unlicense-text": "unlicense"}
 
 # Words that tell licences apart, with what they stand for. A template's own must occur in a text's span.
 TELLING = {
@@ -156,7 +164,7 @@ def scan(docs: DataFrame, *, cover: float = 0.6, drift: int = 3) -> DataFrame:
     A phrase counts where its words stand consecutively: all its grams on one diagonal. It gives its base
     label everywhere, and its label unless a word right behind makes it another licence ("CC BY-SA"). A
     notice is a candidate if diagonals at most `drift` apart cover at least `cover` of its grams, and counts
-    if a chain of its matches still does and is told apart from other licences. score is the largest share
+    if a chain of its matches still does, in a span of at most 1 / `cover` times its length, and is told apart from other licences. score is the largest share
     of a template that a document covers, verified from `cover` on, 1 with a phrase. Null and empty texts
     have no words, empty labels and the score 0; repeated rows give repeated results; an empty table gives
     no rows.
@@ -183,7 +191,8 @@ def scan(docs: DataFrame, *, cover: float = 0.6, drift: int = 3) -> DataFrame:
                 share = len(chain) / (size - K + 1)
                 if share < cover:
                     break
-                if told_apart(need, chain[0][0], chain[-1][0] + K, told, whole=chain[-1][1] == size - K):
+                span = chain[-1][0] - chain[0][0] + K
+                if span * cover <= size and told_apart(need, chain[0][0], chain[-1][0] + K, told, whole=chain[-1][1] == size - K):
                     labels.add(label)
                     most = max(most, share)
                     break
