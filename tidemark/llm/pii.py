@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The field is trained on a small labelled table of sentences and decoded by Viterbi in numpy batches. Words
-without digits, '@' and '=' have shapes that it labels O by so wide a margin that no path through them can
-be better; the margin is checked after training, and only then are runs of such words skipped.
+The field is trained on a small labelled table of sentences, which is made by rule here, and decoded by
+Viterbi in numpy batches. All words of a text are one chain and every word is scored. Where a word's score
+for O beats its other labels by more than any two moves between labels can give back, the best path surely
+calls it O; there the chain is cut, and only the runs between such words are decoded, which is exact.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ SQUEEZE = re.compile(r"X+|x+|d+")
 
 
 def shape(word: str) -> str:
-    s = "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:64])
+    s = "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
     return SQUEEZE.sub(lambda m: m.group()[0], s)
 
 
@@ -141,7 +142,9 @@ class Field:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.index, self.weights, self.moves = index, weights, moves
-        self.plain_is_safe = self._plain_is_safe()
+        m = moves
+        #: What a label can gain over O at one place by the moves into it and out of it, at most.
+        self.gain = ((m[:, None, 1:] + m.T[None, :, 1:]) - (m[:, 0][:, None, None] + m[0][None, :, None])).max((0, 1))
 
     def scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(LABELS)))
@@ -150,14 +153,6 @@ class Field:
             out[i] = self.weights[rows].sum(0)
         return out
 
-    def _plain_is_safe(self) -> bool:
-        """Whether calling any word without marks O is best whatever the labels beside it, for all forms of such words."""
-        forms = ["ab", "Ab", "AB", "ab.", "Ab,", "a", "A", "***", "ab***", "|", "(ab)", '"ab"', "ab-cd", "ab's", "aBc", "ab.cd", "é", "-", "+", "abcdefghijklmnopq", "ab/cd.ef.gh.ij"]
-        least = np.min([s[0] - s[1:] for a in forms for b in forms for c in forms for s in [self.scores([a, b, c])[1]]], axis=0)
-        m = self.moves
-        gain = (m[:, None, :] + m.T[None, :, :]) - (m[:, 0][:, None, None] + m[0][None, :, None])
-        return bool((least > gain[:, :, 1:].max((0, 1))).all())
-
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best labels of a padded batch (sequences, places, labels); before and after a sequence stands O."""
         n, most, k = scores.shape
@@ -224,38 +219,67 @@ def default_field() -> Field:
 
 # --- texts --------------------------------------------------------------------------------------------
 
-WHITE = np.zeros(0x3001, bool)
-WHITE[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 TRIM = ".,;:!?\"'"
+WORD = re.compile(r"\S+")
+
 
+class Types:
+    """What the field knows of a word: its own scores and those that it lends to its neighbours. Words of one kind share a type.
+
+    Lower-case words without marks, the bulk of any text, are two types by their length. At most about
+    `limit` other words are remembered.
+    """
 
-def _segments(text: str, every: bool):
-    """Runs of words to decode: those with marks, and two to either side; as lists of (start, end)."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    white = WHITE[np.minimum(points, 0x2FFF)] | (points == 0x3000)
-    edge = np.diff((~white).view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if every:
-        near = np.arange(len(start))
-    else:
-        marks = np.flatnonzero(((points >= 48) & (points <= 57)) | (points == 64) | (points == 61))
-        marked = np.unique(np.searchsorted(start, marks, side="right") - 1)
-        near = np.unique(np.clip((marked[:, None] + np.arange(-2, 3)).ravel(), 0, len(start) - 1))
-    for run in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1):
-        if len(run):
-            yield start[run].tolist(), end[run].tolist()
-
-
-def field_spans(texts: list[str], field: Field, most: int = 100_000) -> list[list[tuple[int, int, int]]]:
+    def __init__(self, field: Field, limit: int = 200_000):
+        self.field, self.limit = field, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table, self.used = np.zeros((1024, 3 * len(LABELS))), 0
+        self.plain = [self._add("ab"), self._add("abcdefghijklmnop")]
+
+    def _add(self, word: str) -> int:
+        f = self.field
+        own = [k for x in word_features(word) if (k := f.index.get(x)) is not None]
+        beside = shape(word.strip(".,;:!?"))[:6]
+        lent = [f.weights[k] if (k := f.index.get(f"{side}={beside}")) is not None else np.zeros(len(LABELS)) for side in "pq"]
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.used] = np.concatenate([f.weights[own].sum(0), *lent])
+        self.known[word] = self.used
+        self.used += 1
+        return self.used - 1
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The scores of a whole text's words."""
+        if len(self.known) > self.limit:
+            self.forget()
+        known, add, (short, long_) = self.known, self._add, self.plain
+        ids = np.array([(long_ if len(w) > 14 else short) if w.isalpha() and w.islower() else known[w] if w in known else add(w) for w in words], np.int64)
+        n, table = len(LABELS), self.table
+        out = table[ids, :n]
+        edge = [f.weights[k] if (k := (f := self.field).index.get(x)) is not None else 0.0 for x in ("p=^", "q=$")]
+        out[1:] += table[ids[:-1], n : 2 * n]
+        out[:-1] += table[ids[1:], 2 * n :]
+        out[0] += edge[0]
+        out[-1] += edge[1]
+        return out
+
+
+def field_spans(texts: list[str], types: Types, most: int = 100_000) -> list[list[tuple[int, int, int]]]:
     """(start, index of kind, end) that the field finds in each text, words of one label merged."""
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    every, runs = not field.plain_is_safe, []
+    field, out, runs = types.field, [[] for _ in texts], []
     for i, text in enumerate(texts):
-        if every and text or MARKED.search(text):
-            for start, end in _segments(text, every):
-                words = [text[a:b] for a, b in zip(start, end, strict=True)]
-                runs.append((len(words), i, start, end, words))
+        words = text.split()
+        if not words:
+            continue
+        scores = types.scores(words)
+        unsure = np.flatnonzero((scores[:, :1] - scores[:, 1:] <= field.gain).any(1))
+        for run in np.split(unsure, np.flatnonzero(np.diff(unsure) > 1) + 1) if len(unsure) else ():
+            runs.append((len(run), i, int(run[0]), scores[run]))
     runs.sort(key=lambda x: x[0])
+    found: dict[int, list[tuple[int, int]]] = {}
     at = 0
     while at < len(runs):
         to = at + 1
@@ -263,22 +287,37 @@ def field_spans(texts: list[str], field: Field, most: int = 100_000) -> list[lis
             to += 1
         part, longest = runs[at:to], runs[to - 1][0]
         scores = np.zeros((len(part), longest, len(LABELS)))
-        for k, (n, _, _, _, words) in enumerate(part):
-            scores[k, :n] = field.scores(words)
-        found = field.viterbi(scores, np.array([x[0] for x in part]))
-        for k in np.flatnonzero(found.any(1)).tolist():
-            n, i, start, end, words = part[k]
-            labels, j = found[k, :n].tolist(), 0
-            while j < n:
-                to_word = j
-                while to_word + 1 < n and labels[to_word + 1] == labels[j]:
-                    to_word += 1
-                if labels[j]:
-                    a, b = start[j] + len(words[j]) - len(words[j].lstrip(TRIM)), end[to_word] - len(words[to_word]) + len(words[to_word].rstrip(TRIM))
-                    if a < b:
-                        out[i].append((a, labels[j] - 1, b))
-                j = to_word + 1
+        for k, (n, _, _, own) in enumerate(part):
+            scores[k, :n] = own
+        labels = field.viterbi(scores, np.array([x[0] for x in part]))
+        for k in np.flatnonzero(labels.any(1)).tolist():
+            n, i, first, _ = part[k]
+            found.setdefault(i, []).extend((first + j, int(x)) for j, x in enumerate(labels[k, :n].tolist()) if x)
         at = to
+    for i, marked in found.items():
+        out[i] = _merged(texts[i], sorted(marked))
+    return out
+
+
+def _merged(text: str, marked: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """marked: (place of a word, its label). The spans of neighbouring words of one label, without punctuation around them."""
+    wanted, ends = dict(marked), {}
+    for j, m in enumerate(WORD.finditer(text)):
+        if j in wanted:
+            ends[j] = m.span()
+            if len(ends) == len(wanted):
+                break
+    out, j = [], 0
+    while j < len(marked):
+        to = j
+        while to + 1 < len(marked) and marked[to + 1] == (marked[to][0] + 1, marked[j][1]):
+            to += 1
+        (a, a_end), (b_start, b) = ends[marked[j][0]], ends[marked[to][0]]
+        head, tail = text[a:a_end], text[b_start:b]
+        a, b = a + len(head) - len(head.lstrip(TRIM)), b - len(tail) + len(tail.rstrip(TRIM))
+        if a < b:
+            out.append((a, marked[j][1] - 1, b))
+        j = to + 1
     return out
 
 
@@ -318,9 +357,10 @@ def find(docs: DataFrame, *, field: Field | None = None, keep: list[str] | None
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+        types = Types(field)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            more = field_spans(texts, field)
+            more = field_spans(texts, types)
             rows, clean = [], []
             for text, own in zip(texts, more, strict=True):
                 base = base_spans(text) if MARKED.search(text) else []
