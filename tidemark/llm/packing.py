@@ -1,7 +1,8 @@
 """Packing token sequences by large-item matching and best fit.
 
 Texts are encoded and cut into pieces of at most `capacity` ids. Pieces are dealt by hash into units of
-bounded size and packed there: a unit wastes at most part of one sequence more than packing all at once.
+bounded size, one to a task, and packed there: a unit wastes at most part of one sequence more than packing
+all at once.
 In a unit, pieces above a third of the capacity stand at most twice in a sequence and are paired
 greedily, each with the largest that still fits; smaller pieces then go, largest first, into the
 tightest gap that holds them.
@@ -58,7 +59,7 @@ def match_and_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nd
 
 
 def encode_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """Every whole text's ids with `end_id` after them, cut; ids are little-endian unsigned 32-bit."""
+    """Every whole text's ids with `end_id` after them, cut; ids are little-endian and as wide as the vocabulary needs, 16 or 32 bits."""
 
     def encode(batches):
         import pyarrow as pa
@@ -66,14 +67,15 @@ def encode_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int
         from .tokens import encoder
 
         enc = encoder(tokenizer)
+        end, size = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         kind = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, at = np.append(enc.ids(text).astype("<u4"), np.uint32(end_id)), 0
-                for k, n in enumerate(cut(len(ids), capacity)):
-                    for column, v in zip(rows, (doc_id, k, at, n, ids[at : at + n].tobytes()), strict=True):
+                ids, at = enc.encode(text) + end, 0
+                for k, n in enumerate(cut(len(ids) // size, capacity)):
+                    for column, v in zip(rows, (doc_id, k, at, n, ids[size * at : size * (at + n)]), strict=True):
                         column.append(v)
                     at += n
                 held += at
@@ -85,15 +87,50 @@ def encode_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int
     return common.texts(docs).mapInArrow(encode, PIECES)
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 2048, unit_docs: int = 8192) -> DataFrame:
+def _units(batches):
+    """Tables of whole units from batches in which each unit's rows stand together."""
+    import pyarrow as pa
+
+    held, now = [], None
+    for batch in batches:
+        unit = batch.column("unit").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if now is not None and unit[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = unit[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def widened(ids, lengths: np.ndarray):
+    """Binary ids of `lengths` numbers each as little-endian unsigned 32-bit ones."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    starts = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    raw = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    wide = raw.view("<u2" if len(raw) < 4 * offsets[-1] else "<u4").astype("<u4")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(4 * offsets), pa.py_buffer(wide)])
+
+
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 2048, unit_docs: int = 8192, unit_bytes: int = 24 << 20, most_tasks: int = 65_536) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids, sequence_id, offset; sequences hold at most `capacity` ids.
 
     Null and empty texts are packed as the end id alone; repeated rows are packed as often as they
-    occur; an empty table gives no rows. unit_docs bounds what one task packs at a time (in documents,
-    on average); the result is whole at any value.
+    occur, in the order of their ids; an empty table gives no rows. A text is encoded by one task, which
+    holds it and its ids. unit_docs and unit_bytes bound on average what is packed and held at a time (in
+    documents, and in bytes of text); the result is whole at any value. There is a task for every unit, up
+    to `most_tasks`; beyond that a task sorts its rows by unit and packs one unit after another.
     """
-    spark = docs.sparkSession
-    units = max(1, -(-docs.count() // unit_docs))
+    texts = common.texts(docs)
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    units = max(1, -(-size["n"] // unit_docs), -(-(size["bytes"] or 0) // unit_bytes))
+    tasks = min(units, most_tasks)
 
     def packed(batches):
         import pyarrow as pa
@@ -102,25 +139,22 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 20
         from .tokens import release
 
         release()
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        del held
-        order = pc.sort_indices(rows.select(["unit", "doc_id", "piece"]), [("unit", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")]).to_numpy()
-        unit = rows.column("unit").to_numpy()[order]
-        lengths = rows.column("length").to_numpy()[order]
-        rows = rows.drop_columns(["unit"])
-        starts = np.flatnonzero(np.diff(unit, prepend=-1)).tolist()
-        for a, b in zip(starts, [*starts[1:], len(unit)], strict=True):
-            bins, offsets = match_and_fit(lengths[a:b], capacity)
-            for k in range(a, b, 1024):
-                part = rows.take(pa.array(order[k : min(b, k + 1024)]))
-                place = slice(k - a, min(b, k + 1024) - a)
-                part = part.append_column("sequence_id", pa.array((int(unit[a]) << 40) + bins[place])).append_column("offset", pa.array(offsets[place]))
+        keys = ["doc_id", "piece", "length", "ids"]
+        for unit, rows in _units(batches):
+            rows = rows.drop_columns(["unit"]).combine_chunks()
+            order = pc.sort_indices(rows.select(keys), [(k, "ascending") for k in keys]).to_numpy()
+            bins, offsets = match_and_fit(rows.column("length").to_numpy()[order], capacity)
+            for k in range(0, len(order), 1024):
+                part = rows.take(pa.array(order[k : k + 1024]))
+                part = part.combine_chunks()
+                ids = part.column("ids").chunk(0)
+                part = part.set_column(part.column_names.index("ids"), "ids", widened(ids, part.column("length").to_numpy()))
+                part = part.append_column("sequence_id", pa.array((int(unit) << 40) + bins[k : k + 1024])).append_column("offset", pa.array(offsets[k : k + 1024]))
                 yield from part.to_batches()
 
     pieces = encode_pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity)
-    unit = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(units)).alias("unit")
-    shown = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return pieces.select(*pieces.columns, unit).repartition(min(units, max(shown, 1)) if units < shown else shown, "unit").mapInArrow(packed, PACKED)
+    dealt = pieces.select(*pieces.columns, F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(units)).alias("unit"))
+    dealt = dealt.repartitionById(tasks, F.pmod("unit", F.lit(tasks)).cast("int"))
+    if tasks < units:
+        dealt = dealt.sortWithinPartitions("unit")
+    return dealt.mapInArrow(packed, PACKED)

@@ -60,6 +60,9 @@ class Encoder(dict):
         self.tok, self.kind, self.limit = Tokenizer.from_file(path), _kind(spec), limit
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.model, self.letters = self.tok.model, _byte_letters()
+        self.tokenize = self.model.tokenize
+        self.lead = self.letters[ord(" ")] if self.kind == "byte" else ""
+        self.wide = {c: "".join(self.letters[b] for b in chr(c).encode()) for c in range(128, 256)}
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.coded = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tok.get_vocab_size())]
@@ -86,21 +89,30 @@ class Encoder(dict):
         if "<" in chunk or core and not (core.isalpha() and (core.isascii() or max(core) < "Ā")):
             return self.whole(lead + chunk)
         tail = chunk[len(core) :]
+        if lead == " " and tail and core:
+            return self[core] + self.piece(tail)
         if self.kind == "word":
             return (self.piece(core.lower()) if core else b"") + (self.piece(tail) if tail else b"")
         if lead == "\n":
             return self.piece("\n") + (self.piece(core) if core else b"") + (self.piece(tail) if tail else b"")
         return self.piece(lead + core) + (self.piece(tail) if tail else b"") if core else self.piece(lead + tail)
 
+    def plain(self, word: str) -> bytes:
+        """ids of a word of Latin letters behind a space, which is one pre-token."""
+        coded, low = self.coded, word if self.lead else word.lower()
+        return b"".join([coded[t.id] for t in self.tokenize(self.lead + (low if low.isascii() else low.translate(self.wide)))])
+
     def __missing__(self, chunk: str) -> bytes:
         out = self.old.get(chunk)
-        if out is not None:
-            self[chunk] = out
-            return out
+        if out is None:
+            if chunk.isalpha() and (chunk.isascii() or max(chunk) < "Ā"):
+                out = self.plain(chunk)
+            else:
+                out = self.chunk(chunk[1:], "\n") if chunk[0] == "\n" else self.chunk(chunk, " ")
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        out = self[chunk] = self.chunk(chunk[1:], "\n") if chunk[0] == "\n" else self.chunk(chunk, " ")
+        self[chunk] = out
         return out
 
     def encode(self, text: str) -> bytes:
