@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common, graph
 from .words import WHITE, Words, mix, text_batches
 
-SIGNED = "doc_id long, n_shingles long, cls binary, bands array<long>, marks array<long>"
+SIGNED = "doc_id long, row_hash long, n_shingles long, cls binary, bands array<long>, marks array<long>"
 MARKS = 16
 SETS = "cls binary, items array<long>"
 
@@ -82,8 +82,13 @@ def marks(items: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def row_hash(text):
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def sign(docs: DataFrame, *, shingle: int, percent: int, permutations: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, cls (a digest of the shingle set, null without words), bands and marks of every document.
+    """doc_id, row_hash, n_shingles, cls (a digest of the shingle set, null without words), bands and marks of every document.
 
     Sets too small to be similar to any other set have no bands.
     """
@@ -91,7 +96,7 @@ def sign(docs: DataFrame, *, shingle: int, percent: int, permutations: int, rows
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+        kind = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
         for batch in batches:
             for a, b, texts in text_batches(batch.column(1), 1 << 20):
                 sizes, keys, bands, bits, sets, places = np.zeros(b - a, np.int64), [None] * (b - a), [None] * (b - a), [None] * (b - a), [], []
@@ -104,9 +109,10 @@ def sign(docs: DataFrame, *, shingle: int, percent: int, permutations: int, rows
                 if sets:
                     for i, row in zip(places, band_hashes(sets, permutations, rows), strict=True):
                         bands[i] = row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=kind)
 
-    return common.texts(docs).mapInArrow(run, SIGNED)
+    texts = common.texts(docs)
+    return texts.select("doc_id", "text", row_hash("text").alias("row_hash")).mapInArrow(run, SIGNED)
 
 
 def full_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
@@ -139,9 +145,13 @@ def _can_link(other: str, percent: int):
     return fit & (F.lit(100 + percent) * (both + F.least(F.col("spare"), F.col(other + "spare"))) >= F.lit(percent) * (n + n2))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutations: int = 256, rows: int = 8, small: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutations: int = 256, rows: int = 8, small: int = 2_000_000, by_row: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id).
 
+    by_row: also row_hash and first, which is true for the rows of one id and text alone in each component
+    (the smallest id, no null if it can be, and of its texts the one of the smallest hash), and for every
+    row without shingles.
+
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; links are
     confirmed on full sets, and candidates come from 2 * permutations / rows bands: of 64 bands of 8 values
     a pair shares none with a probability of 8e-6 at the similarity 0.8, and one with 0.04 at 0.4. The ids
@@ -194,7 +204,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
 
     ends = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     final = work.keep(graph.components(ends.unionByName(second), work), "final")
-    reach = signed.select("doc_id", "n_shingles", "cls").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    smallest = reach.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    reach = signed.select("doc_id", "row_hash", "n_shingles", "cls").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
+    smallest = reach.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), *([F.min(row).alias("row")] if by_row else []))
     found = reach.join(smallest, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()).alias("kept")
+    more = ["row_hash", (F.col("label").isNull() | (row == F.col("row"))).alias("first")] if by_row else []
+    return found.select("doc_id", "n_shingles", "component_id", kept, *more)
