@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DECAY = 0.8
+DECAY = 0.85
 #: The orders of the subsequences that are counted.
 ORDERS = (3, 4)
 #: The power of the kernel, which stresses close matches.
@@ -105,7 +105,8 @@ class Landmarks:
 
     def __init__(self, marks: list[str]):
         self.marks = marks
-        self.width = max(len(m) for m in marks) + 1
+        ends = np.cumsum([0, *(len(m) + 1 for m in marks)])
+        self.starts, self.size = ends[:-1], int(ends[-1])
         self.scale = np.array([_own(len(m) + 1) for m in marks], np.float32)
         places: dict[str, list[tuple[int, int]]] = {}
         for k, m in enumerate(marks):
@@ -116,11 +117,10 @@ class Landmarks:
 
     def _tables(self, places: list[tuple[int, int]]):
         """Columns of the state, the sums before them, the weights of beginnings there and of ends by landmark."""
-        n = len(self.marks)
-        columns = np.array([j * n + k for j, k in places])
-        before, ends = np.zeros((self.width * n, len(places)), np.float32), np.zeros((len(places), n), np.float32)
+        columns = np.array([self.starts[k] + j for j, k in places])
+        before, ends = np.zeros((self.size, len(places)), np.float32), np.zeros((len(places), len(self.marks)), np.float32)
         for at, (j, k) in enumerate(places):
-            before[[i * n + k for i in range(j)], at] = 1
+            before[self.starts[k] : self.starts[k] + j, at] = 1
             ends[at, k] = DECAY**j
         return columns, before, np.array([DECAY**-j for j, _ in places], np.float32), ends
 
@@ -144,7 +144,7 @@ class Landmarks:
             letters[points == ord(c)] = k
         fresh = np.ones((rows, longest), bool)
         fresh[1:] = np.logical_or.accumulate(points[1:, :longest] != points[:-1, :longest], axis=1)
-        n, size = len(self.marks), self.width * len(self.marks)
+        n, size = len(self.marks), self.size
         one, two, three = (np.zeros((1, size), np.float32) for _ in range(3))
         total, node = np.zeros((1, n), np.float32), np.zeros(rows, np.int64)
         out = np.zeros((rows, n), np.float32)
@@ -238,25 +238,40 @@ def stems(units: set[str]) -> set[str]:
     return {u[:k] for u in units for k in range(STEM, len(u) + 1)}
 
 
+class Names(dict):
+    """Numbers of units, given out as they come; keeps what is learned from small."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = len(self)
+        return self[unit]
+
+    def sentences(self, text: str) -> list[np.ndarray]:
+        """The distinct units of every sentence that has any."""
+        held = (np.unique(np.fromiter((self[u] for w in words(s) for u in normal(w)), np.int32)) for s in sentences(text))
+        return [s for s in held if len(s)]
+
+
 def witnesses(toxic: list[set[str]], clean: list[set[str]], *, support: float, odds: float) -> Counter:
-    """The stems that explain the toxic texts, with the number of toxic texts that hold each; texts are sets of units.
+    """The stems that explain the toxic texts, with the number of toxic texts that hold each; texts are sets of units, and may be made anew each time they are gone through.
 
     A stem qualifies if toxic texts hold it `odds` times as often as clean ones. In turn, the stem in most
     unexplained texts is taken, in the longest form that nearly as many of them hold, as long as it is in
     the share `support` of the toxic texts, and three at least. Stems in five times as many texts are
     witnesses too even if all of these hold another; others only keep company with witnesses.
     """
-    bags = [stems(t) for t in toxic]
-    count = Counter(x for bag in bags for x in bag)
-    least = max(3, math.ceil(support * len(bags)))
+    count: Counter = Counter()
+    for units in toxic:
+        count.update(stems(units))
+    least = max(3, math.ceil(support * len(toxic)))
     known = {x for x, n in count.items() if n >= least}
+    count = Counter({x: count[x] for x in known})
     away: Counter = Counter()
-    for t in clean:
-        away.update(stems(t) & known)
-    told = {x for x in known if (count[x] + 0.5) / (len(bags) + 1) >= odds * (away[x] + 0.5) / (len(clean) + 1)}
+    for units in clean:
+        away.update(stems(units) & known)
+    told = {x for x in known if (count[x] + 0.5) / (len(toxic) + 1) >= odds * (away[x] + 0.5) / (len(clean) + 1)}
     holders: dict[str, set[int]] = {x: set() for x in told}
-    for i, bag in enumerate(bags):
-        for x in bag & told:
+    for i, units in enumerate(toxic):
+        for x in stems(units) & told:
             holders[x].add(i)
 
     def longest(x: str, left: dict[str, int]) -> str:
@@ -278,6 +293,20 @@ def witnesses(toxic: list[set[str]], clean: list[set[str]], *, support: float, o
     return out
 
 
+class Bags:
+    """Texts as sets of units, each made when it is asked for."""
+
+    def __init__(self, texts: list[list[np.ndarray]], units: list[str]):
+        self.texts, self.units = texts, units
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __iter__(self):
+        for t in self.texts:
+            yield {self.units[k] for k in np.unique(np.concatenate(t)).tolist()} if t else set()
+
+
 def spread(candidates: list[str], most: int, near: float) -> list[str]:
     """Up to `most` of the candidates, best first, none with a kernel of `near` or more with one before it."""
     kept: list[str] = []
@@ -289,38 +318,39 @@ def spread(candidates: list[str], most: int, near: float) -> list[str]:
     return kept
 
 
-def fit(toxic: list[str], clean: list[str], *, landmarks: int = 64, support: float = 0.01, odds: float = 100.0, hard: int = 6000, rounds: int = 4, ridge: float = 1e-3, caution: float = 3.0, seed: int = 5) -> Model:
+def fit(toxic: list[str], clean: list[str], *, landmarks: int = 64, support: float = 0.01, odds: float = 50.0, hard: int = 6000, rounds: int = 4, ridge: float = 1e-3, caution: float = 3.0, seed: int = 5) -> Model:
     """Fit on texts of both labels.
 
     Every sentence of a clean text is negative. In a toxic text the sentences with a word that begins with
-    a witness are positive, and so are they with that word hidden (see `variants`), as heavy as those
-    together. In each round the plane is fitted, the strongest word of every clean sentence is looked up,
-    and the `hard` strongest of them all become negatives, the most different ones landmarks too. Half of
-    the landmarks are for witnesses at most. caution: how much heavier the clean side is. These numbers
-    bound what is learned from, not what is scored.
+    a witness are positive. Words in five times the texts that `support` asks for are positive hidden, too
+    (see `variants`), twice as heavy as plain. In each round the plane is fitted, the strongest word of
+    every clean sentence is looked up, and the `hard` strongest of them all become negatives, the most
+    different ones landmarks too. Half of the landmarks are for witnesses at most. caution: how much
+    heavier the clean side is. These numbers bound what is learned from, not what is scored.
     """
-    r = random.Random(seed)
-    bags = [[{u for w in words(s) for u in normal(w)} for s in sentences(t)] for t in toxic]
-    negative = [[{u for w in words(s) for u in normal(w)} for s in sentences(t)] for t in clean]
-    found = witnesses([set().union(*bag) for bag in bags], [set().union(*bag) for bag in negative], support=support, odds=odds)
-    negative = [s for bag in negative for s in bag if s]
-    seen = Counter(u for s in negative for u in s)
+    r, names = random.Random(seed), Names()
+    texts = [[names.sentences(t) for t in side] for side in (toxic, clean)]
+    units = list(names)
+    found = witnesses(Bags(texts[0], units), Bags(texts[1], units), support=support, odds=odds)
+    negative = [s for t in texts[1] for s in t]
+    seen = np.bincount(np.concatenate(negative) if negative else np.zeros(0, np.int32), minlength=len(units))
+    ranked = sorted(np.flatnonzero(seen).tolist(), key=lambda k: (-seen[k], units[k]))
     if not found or not negative:
-        marks = Landmarks([min(found or seen, key=lambda u: (-(found or seen)[u], u), default="-")])
+        marks = Landmarks([min(found, key=lambda u: (-found[u], u)) if found else units[ranked[0]] if ranked else "-"])
         return Model(marks, np.zeros(1, np.float32), -1.0, 1.0, 2.0 if found else -2.0)
     letters = "".join(sorted({c for u in found for c in u if c.isalpha()})) or "x"
     plain = sorted(found, key=lambda u: (-found[u], u))
-    times = Counter(u for bag in bags for s in bag for u in s if u not in seen and u.startswith(tuple(plain)))
+    times = np.bincount(np.concatenate([s for t in texts[0] for s in t]), minlength=len(units))
     weigh: dict[str, float] = {}
-    for u in sorted(times):
-        hidden = [v for v in variants(u, letters, r, 3 if u in found else 1) if len(v) <= LONGEST and v not in seen]
-        for v, n in [(u, times[u] / 2), *((v, times[u] / 2 / len(hidden)) for v in hidden)]:
-            weigh[v] = weigh.get(v, 0) + n
+    often = 5 * max(3, math.ceil(support * len(toxic)))
+    for u, n in sorted((u, int(times[k])) for k, u in enumerate(units) if times[k] and not seen[k] and u.startswith(tuple(plain))):
+        hidden = [v for v in variants(u, letters, r, 3) if len(v) <= LONGEST and not (v in names and seen[names[v]])] if n >= often else []
+        for v, m in [(u, n / 2), *((v, n / len(hidden)) for v in hidden)]:
+            weigh[v] = weigh.get(v, 0) + m
     positive = list(weigh)
     chosen = spread(plain, max(1, landmarks // 2), 0.5)
     room = landmarks - len(chosen)
-    ranked = sorted(seen, key=lambda u: (-seen[u], u))
-    sampled = ranked[:hard]
+    sampled = [units[k] for k in ranked[:hard]]
     chosen += spread([u for u in sampled if len(u) > 3], room // (rounds + 1), 0.3)
     heavy = np.array([weigh[u] for u in positive])
     for step in range(rounds):
@@ -329,17 +359,19 @@ def fit(toxic: list[str], clean: list[str], *, landmarks: int = 64, support: flo
         white = vectors[:, values > 1e-3] / np.sqrt(values[values > 1e-3])
         x = marks.kernels(positive + sampled).astype(np.float64) @ white
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(sampled))])
-        light = np.array([seen[u] ** 0.5 for u in sampled])
+        light = np.array([seen[names[u]] ** 0.5 for u in sampled])
         plane, bias = _plane(x, y, np.concatenate([heavy / heavy.sum(), caution * light / light.sum()]) / (1 + caution), ridge)
         model = Model(marks, (white @ plane).astype(np.float32), bias, 1.0, 0.0)
         if step < rounds - 1:
-            margin = dict(zip(ranked, model.margins(ranked).tolist(), strict=True))
-            strongest = sorted({max(s, key=lambda u: (margin[u], u)) for s in negative if s}, key=lambda u: (-margin[u], u))[:hard]
+            margin = np.full(len(units), -np.inf)
+            margin[ranked] = model.margins([units[k] for k in ranked])
+            strongest = {int(s[np.argmax(margin[s])]) for s in negative}
+            strongest = [units[k] for k in sorted(strongest, key=lambda k: (-margin[k], units[k]))[:hard]]
             chosen += spread([u for u in strongest if len(u) > 2], room // (rounds + 1), 0.3)
             sampled = list(dict.fromkeys(strongest + sampled))
     scorer = Scorer(model)
     plainly, cleanly, hiddenly = scorer.margins(toxic), scorer.margins(clean), model.margins(positive)
-    weight = [np.full(len(plainly), 0.5 / len(plainly)), 0.5 * heavy / heavy.sum(), np.full(len(cleanly), caution / len(cleanly))]
+    weight = [np.full(len(plainly), 0.5 / len(plainly)), 0.5 * heavy / heavy.sum(), np.full(len(cleanly), 0.8 * caution / len(cleanly))]
     model.slope, model.shift = _platt(np.concatenate([plainly, hiddenly, cleanly]), np.repeat([1.0, 1.0, 0.0], [len(w) for w in weight]), np.concatenate(weight) / (1 + caution))
     return model
 
