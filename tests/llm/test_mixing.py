@@ -5,6 +5,7 @@ import math
 from statistics import mean, variance
 
 import duckdb
+import pytest
 
 from tidemark.llm import mixing
 
@@ -29,8 +30,9 @@ def test_a_rate_over_1000_is_poisson(spark):
     assert abs(mean(got.values()) / rate - 1) < 0.02 and 0.7 < variance(got.values()) / rate < 1.4
 
 
-def test_a_rate_between_200_and_700_equals_the_sql(spark):
-    rows = [(i, "x", "small") for i in range(4)] + [(9, "y" * 1_000_000, "large")]
+@pytest.mark.parametrize("chars", [1_000_000, 9_000_000])
+def test_large_rates_equal_the_sql(spark, chars):
+    rows = [(i, "x", "small") for i in range(4)] + [(9, "y" * chars, "large")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mix(docs).filter("source = 'small'").select("doc_id", "repetitions", "copy", "mix_order")
     con = duckdb.connect()

@@ -105,7 +105,8 @@ def test_tree_is_exact():
     for i in range(0, 900, 50):
         scores = rows @ rows[i]
         want = sorted(((-int(s), int(j)) for j, s in enumerate(scores) if j != i))[:20]
-        got = sorted((-s, j) for s, j in tree.search(rows[i], i, tree.bounds(rows[i : i + 1])[0], 20, float("-inf")))
+        who, found, got_scores = tree.search(rows[i : i + 1].astype(float), np.array([i]), np.array([-np.inf]), 20)
+        got = [(-int(s), int(j)) for j, s in zip(found, got_scores, strict=True)]
         assert got == want
 
 

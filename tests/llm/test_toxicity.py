@@ -9,4 +9,4 @@ from tidemark.llm import toxicity
 def test_marks_between_all_letters_cost_nothing(word):
     units = toxicity.normal(word)
     assert toxicity.Landmarks(["idiot"]).kernels(units)[:, 0].max() > 0.9
-    assert toxicity.normal("well-known") == ["well-known"] and toxicity.normal("a.b") == ["a.b"]
+    assert toxicity.normal("well-known") == ["well-known", "wellknown"] and toxicity.normal("plain,") == ["plain"] and toxicity.normal("--") == []
