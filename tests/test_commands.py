@@ -138,6 +138,15 @@ def test_guards(spark, tables):
     assert before["orders"].count() == 8 and e.query("ready").count() == 0
 
 
+def test_materialised_results_are_only_refreshed(spark, tables):
+    top = Resource("top", ("customer", "n"), refreshed=True)
+    counts = tables["orders"].groupBy("customer").count().withColumnRenamed("count", "n")
+    e = Engine(spark, tables | {"top": counts}, [*FAMILY, top], {"top": Select("top")}, limits=UNBOUNDED)
+    with pytest.raises(EngineError, match="MATERIALIZED_RESOURCE"):
+        e.command(lambda c: c.delete("top", "true"))
+    assert found(e.command(lambda c: c.refresh("top"))) == {("top", "conservative", "all", None, None)} and e.query("top").count() == 0
+
+
 def test_a_failed_calculation_leaves_no_endpoint_unaffected(spark, tables, monkeypatch):
     e = engine(spark, tables)
     monkeypatch.setattr(calculus, "impact", lambda *a, **k: 1 / 0)

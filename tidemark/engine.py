@@ -57,6 +57,13 @@ class Command:
             raise EngineError("UNREGISTERED_RESOURCE")
         return self.engine.resources[name]
 
+    def _writable(self, name: str) -> Resource:
+        """A resource that commands may write; materialised results are only refreshed."""
+        r = self._resource(name)
+        if r.refreshed:
+            raise EngineError("MATERIALIZED_RESOURCE")
+        return r
+
     def _observed(self, r: Resource) -> list[str]:
         return capture.observed(r, self.engine.manifest)
 
@@ -71,7 +78,7 @@ class Command:
 
     @operation
     def insert(self, name: str, rows: DataFrame) -> None:
-        r = self._resource(name)
+        r = self._writable(name)
         rows = rows.select(*r.columns)
         self.parts.append(capture.inserted(rows, r, self._observed(r)))
         self.tables[name] = self.tables[name].unionByName(rows)
@@ -96,7 +103,7 @@ class Command:
 
     @operation
     def delete(self, name: str, where) -> None:
-        r = self._resource(name)
+        r = self._writable(name)
         hit = F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
         old = self.tables[name].filter(hit)
         self.parts.append(capture.deleted(old, r, self._observed(r)))
@@ -106,7 +113,7 @@ class Command:
     @operation
     def delete_keys(self, name: str, keys: DataFrame) -> None:
         """Delete the rows whose identities are in `keys`."""
-        r = self._resource(name)
+        r = self._writable(name)
         if not r.identity:
             raise EngineError("EMPTY_IDENTITY")
         k = keys.select(*[F.col(c).alias(f"__k_{c}") for c in r.identity]).distinct()
@@ -119,7 +126,7 @@ class Command:
     @operation
     def update(self, name: str, values: dict[str, str], where: str) -> None:
         """Only the touched rows are compared, not the table; in one pass, unless the identity may change."""
-        r = self._resource(name)
+        r = self._writable(name)
         if not set(values) <= set(r.columns):
             raise EngineError("UNREGISTERED_COLUMN")
         hit = F.coalesce(F.expr(where), F.lit(False))
@@ -135,7 +142,7 @@ class Command:
     @operation
     def merge(self, name: str, rows: DataFrame) -> None:
         """Rows replace those of the same identity, nulls included; others are put in. An identity may occur once."""
-        r = self._resource(name)
+        r = self._writable(name)
         if not r.identity:
             raise EngineError("EMPTY_IDENTITY")
         rows, table = rows.select(*r.columns), self.tables[name]
@@ -148,7 +155,7 @@ class Command:
     @operation
     def truncate(self, name: str) -> None:
         """The table is emptied, and its children lose the rows that refer to it."""
-        r = self._resource(name)
+        r = self._writable(name)
         old = self.tables[name]
         self.parts.append(capture.all_unknown(self.engine.spark, r))
         self.tables[name] = old.limit(0)

@@ -347,6 +347,8 @@ def _overflow(c):
 # Under the default limits: more than 200 orders become one fact, which keeps their common status alone; the single customer keeps its values.
 OVERFLOW = {"orders.price": Select("orders", ("o_totalprice", "o_orderkey"), (eq("o_orderkey", Input("id")),)), "orders.prices": Select("orders", ("o_totalprice",), (eq("o_orderstatus", Input("status")),)), "customers.one": Select("customer", None, (eq("c_custkey", Input("id")),))}
 add("writeset_overflow", impact_sql(flat_sql("orders.price", "all", "conservative", "global"), rows_sql("orders.prices", "status", "SELECT '\"P\"' AS v"), rows_sql("customers.one", "id", "SELECT 7 AS v")), lambda s, d: command(s, d, _overflow, queries=OVERFLOW, limits=Limits()).drop("codes"))
+# The same under the default limits: more changed orders than 200, whose customers and ids differ, become one fact without a bound value.
+add("impact_move_bounded", impact_sql(flat_sql("orders.list", "all", "conservative", "global"), flat_sql("orders.detail", "all", "conservative", "global"), flat_sql("orders.total"), flat_sql("orders.ready")), lambda s, d: command(s, d, lambda c: c.update(*MOVE), limits=Limits()))
 WHOLE = {"w": Combine((("a", Select("customer", ("c_name",), (eq("c_nationkey", Input("nation")), eq("c_custkey", Input("id"))))), ("b", Select("orders", ("o_orderkey",), (eq("o_custkey", Input("id")),)))))}
 PAIRED = "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'"
 
@@ -409,6 +411,22 @@ add("impact_copy_in", impact_sql(rows_sql("orders.list", "customer", "SELECT o_c
 add("impact_migrate", impact_sql(flat_sql("orders.list", "all", "conservative", "global"), flat_sql("orders.ready", "all", "conservative", "global")), lambda s, d: (lambda e: e.migrate(lambda t: t | {"orders": t["orders"].drop("o_orderpriority")}, [replace(r, columns=tuple(c for c in r.columns if c != "o_orderpriority")) for r in e.resources.values()], {"orders.list": LIST, "orders.ready": READY}).drop("codes"))(engine(s, d)))
 
 
+TOP = Resource("top", ("o_custkey", "n"), refreshed=True)
+TOPS = {"top.one": Select("top", ("n",), (eq("o_custkey", Input("customer")),)), "orders.list": LIST}
+
+
+def _materialised(spark, sf):
+    """Counts by customer as a resource of their own, computed anew after a move: all that reads it is affected."""
+    r, t = discover(spark, sf, ["orders"]), tables(spark, sf, ["orders"])
+    counts = lambda o: o.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    e = Engine(spark, t | {"top": counts(t["orders"])}, [*r.values(), TOP], TOPS, limits=Limits.unbounded())
+    e.command(lambda c: c.update(*MOVE))
+    return e.command(lambda c: c.refresh("top", counts(c.tables["orders"]))).drop("codes")
+
+
+add("impact_materialised", impact_sql(flat_sql("top.one", "all", "conservative", "global"), flat_sql("orders.list")), _materialised)
+
+
 def _parts(spark, sf):
     o = read_table(spark, sf, "orders")
     parts = {f"orders_{k}": o.filter(F.col("o_orderstatus") == k) for k in ("F", "O")} | {"orders_P": o.filter("o_orderstatus = 'P'").drop("o_totalprice")}
