@@ -8,7 +8,7 @@ import tarfile
 import numpy as np
 import pytest
 
-from tidemark.llm import media, minhash, packing, pii, suffix_dedup, token_files, topk, toxicity, words
+from tidemark.llm import common, media, minhash, packing, pii, suffix_dedup, token_files, topk, toxicity, words
 from tidemark.llm.tokens import Encoder, default_path
 
 
@@ -113,3 +113,41 @@ def test_tree_is_exact():
 def test_kernel_tolerates_gaps():
     k = toxicity.Landmarks(["idiot"]).kernels(["idiot", "idxiot", "garden", ""])[:, 0]
     assert k[0] > 0.9 > k[1] > 0.05 > k[2] and k[3] == 0
+
+
+@pytest.mark.parametrize("refuses", [False, True])
+def test_a_second_attempt_leaves_one_whole_file(tmp_path, monkeypatch, refuses):
+    from pyarrow import fs
+
+    class Store(fs.LocalFileSystem):
+        """A file system whose rename may refuse an existing file, as some do."""
+
+        def move(self, a, b):
+            if refuses and fs.LocalFileSystem().get_file_info(b).type == fs.FileType.File:
+                raise OSError("exists")
+            fs.LocalFileSystem().move(a, b)
+
+    monkeypatch.setattr(common, "open_fs", lambda uri: (Store(), uri))
+    for _ in range(2):
+        common.publish(str(tmp_path / "a" / "file"), lambda out: out.write(b"whole"))
+    assert [p.read_bytes() for p in (tmp_path / "a").iterdir()] == [b"whole"]
+
+    def broken(out):
+        out.write(b"half")
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        common.publish(str(tmp_path / "a" / "other"), broken)
+    assert not (tmp_path / "a" / "other").exists()
+
+
+def test_folders_belong_to_their_owner(tmp_path, monkeypatch):
+    gone = []
+    monkeypatch.setattr(common, "_delete", lambda spark, path: gone.append(path))
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(common.Workspace, "made", [])
+    with common.owned("mine"):
+        mine = common.Workspace(None, "a")
+    other = common.Workspace(None, "b")
+    common.Workspace.release("mine")
+    assert gone == [mine.path] and [x[2] for x in common.Workspace.made] == [other.path]
