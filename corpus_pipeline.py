@@ -22,11 +22,16 @@ ORACLE_SQL = None
 _run: ContextVar[str | None] = ContextVar("run", default=None)
 
 
+#: What goes to a Python worker at once. Executors run all stages, and both sides hold a batch of each task.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def stage(f):
-    """The stage's written tables replace those of the stage before it."""
+    """The stage's written tables replace those of the stage before it; batches are BATCH from then on in this session."""
 
     @wraps(f)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(*BATCH)
         owner = f"pipeline:{_run.get() or sf_dir}"
         common.Workspace.release(owner)
         with common.owned(owner):

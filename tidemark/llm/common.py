@@ -107,6 +107,44 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def lean(run):
+    """A function over Arrow batches whose Python worker hands its free memory back at the end of every task.
+
+    Workers stay for later tasks of any operator, so what one has touched would count against the next.
+    """
+
+    def tidy(batches):
+        yield from run(batches)
+        trim()
+
+    return tidy
+
+
+def trim() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def slices(column, most: int = 2 << 20):
+    """Runs (from, to) of a string column's rows, each of at most `most` bytes or a single row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield at, to
+        at = to
+
+
 def open_fs(uri: str):
     """The file system and path of a URI for use in executors' Python (local, HDFS, S3 and so on)."""
     from pyarrow import fs

@@ -155,7 +155,7 @@ def gram_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names[a:b][doc]), ids.slice(a, b - a).take(pa.array(doc)), pa.array(place), pa.array(value)], schema=kind)
 
     named = common.texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return named.mapInArrow(run, GRAMS)
+    return named.mapInArrow(common.lean(run), GRAMS)
 
 
 def scan(docs: DataFrame, *, cover: float = 0.6, drift: int = 3) -> DataFrame:

@@ -114,7 +114,7 @@ def write_shards(docs: DataFrame, folder: str, *, level: int = 6) -> DataFrame:
         for a in range(0, len(rows), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 10_000], strict=True), kind, strict=True)], schema=kind)
 
-    return common.texts(docs).mapInArrow(run, WRITTEN)
+    return common.texts(docs).mapInArrow(common.lean(run), WRITTEN)
 
 
 def read_members(index: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def read_members(index: DataFrame) -> DataFrame:
         if f:
             f.close()
 
-    return index.select("digest", "shard", "offset", "length").mapInArrow(run, READ)
+    return index.select("digest", "shard", "offset", "length").mapInArrow(common.lean(run), READ)
 
 
 def media_columns(docs: DataFrame, *, level: int = 6) -> DataFrame:

@@ -112,7 +112,7 @@ def sign(docs: DataFrame, *, shingle: int, percent: int, permutations: int, rows
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=kind)
 
     texts = common.texts(docs)
-    return texts.select("doc_id", "text", row_hash("text").alias("row_hash")).mapInArrow(run, SIGNED)
+    return texts.select("doc_id", "text", row_hash("text").alias("row_hash")).mapInArrow(common.lean(run), SIGNED)
 
 
 def full_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
@@ -125,7 +125,7 @@ def full_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
                 found = [(class_key(items), items.view(np.int64)) for _, items in _sets(texts, shingle)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([v for _, v in found], pa.list_(pa.int64()))], schema=kind)
 
-    return common.texts(docs).mapInArrow(run, SETS)
+    return common.texts(docs).mapInArrow(common.lean(run), SETS)
 
 
 BITS = [f"m{i}" for i in range(MARKS)]

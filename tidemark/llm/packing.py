@@ -72,7 +72,7 @@ def encode_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in ((i, t) for a, b in common.slices(batch.column(1)) for i, t in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True)):
                 ids, at = enc.encode(text) + end, 0
                 for k, n in enumerate(cut(len(ids) // size, capacity)):
                     for column, v in zip(rows, (doc_id, k, at, n, ids[size * at : size * (at + n)]), strict=True):
@@ -84,7 +84,7 @@ def encode_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int
                     rows, held = [[], [], [], [], []], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
 
-    return common.texts(docs).mapInArrow(encode, PIECES)
+    return common.texts(docs).mapInArrow(common.lean(encode), PIECES)
 
 
 def _units(batches):
@@ -157,4 +157,4 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 20
     dealt = dealt.repartitionById(tasks, F.pmod("unit", F.lit(tasks)).cast("int"))
     if tasks < units:
         dealt = dealt.sortWithinPartitions("unit")
-    return dealt.mapInArrow(packed, PACKED)
+    return dealt.mapInArrow(common.lean(packed), PACKED)

@@ -230,7 +230,7 @@ class Types:
     `limit` other words are remembered.
     """
 
-    def __init__(self, field: Field, limit: int = 200_000):
+    def __init__(self, field: Field, limit: int = 50_000):
         self.field, self.limit = field, limit
         self.forget()
 
@@ -358,22 +358,24 @@ def find(docs: DataFrame, *, field: Field | None = None, keep: list[str] | None
 
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         types = Types(field)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            more = field_spans(texts, types)
-            rows, clean = [], []
-            for text, own in zip(texts, more, strict=True):
-                base = base_spans(text) if MARKED.search(text) else []
-                both = sorted([(a, k, b, True) for a, k, b in base] + [(a, k, b, False) for a, k, b in added(base, own)])
-                rows.append([{"kind": KINDS[k], "start": a, "end": b, "base": f} for a, k, b, f in both])
-                clean.append(redact(text, [x[:3] for x in both]) if redacted else None)
-            arrays, names = [batch.column(0), pa.array(rows, span), *batch.columns[2:]], ["doc_id", "spans", *keep]
-            if redacted:
-                arrays.append(pa.array(clean, pa.string()))
-                names.append("redacted")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return asked.mapInArrow(run, FOUND + extra)
+        for whole in batches:
+            for a, b in common.slices(whole.column(1)):
+                batch = whole.slice(a, b - a)
+                texts = batch.column(1).to_pylist()
+                more = field_spans(texts, types)
+                rows, clean = [], []
+                for text, own in zip(texts, more, strict=True):
+                    base = base_spans(text) if MARKED.search(text) else []
+                    both = sorted([(a, k, b, True) for a, k, b in base] + [(a, k, b, False) for a, k, b in added(base, own)])
+                    rows.append([{"kind": KINDS[k], "start": a, "end": b, "base": f} for a, k, b, f in both])
+                    clean.append(redact(text, [x[:3] for x in both]) if redacted else None)
+                arrays, names = [batch.column(0), pa.array(rows, span), *batch.columns[2:]], ["doc_id", "spans", *keep]
+                if redacted:
+                    arrays.append(pa.array(clean, pa.string()))
+                    names.append("redacted")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return asked.mapInArrow(common.lean(run), FOUND + extra)
 
 
 def digest(found: DataFrame) -> DataFrame:

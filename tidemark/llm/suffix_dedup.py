@@ -128,7 +128,7 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
                 text, lo, hi, at, key = triggers(texts, length)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text]), pa.array(rows[a:b][text]), pa.array(key.astype(np.int64)), pa.array(lo << 2 * FIELD | hi - lo + 1 << FIELD | at - lo)], names=["id", "row", "key", "place"])
 
-    return docs.mapInArrow(run, KEYED)
+    return docs.mapInArrow(common.lean(run), KEYED)
 
 
 def phrases(found: DataFrame, length: int) -> DataFrame:
@@ -152,7 +152,7 @@ def phrases(found: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
 
-    return found.mapInArrow(run, PHRASES)
+    return found.mapInArrow(common.lean(run), PHRASES)
 
 
 def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +233,7 @@ def order_shards(dictionary: DataFrame, length: int, most: int = 20_000) -> Data
         if rest is not None and rest.num_rows:
             yield done(rest)
 
-    return dictionary.select("key", "phrase", "times", "n", "at", "bytes").mapInArrow(run, REPEATED)
+    return dictionary.select("key", "phrase", "times", "n", "at", "bytes").mapInArrow(common.lean(run), REPEATED)
 
 
 def _cover(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
@@ -262,7 +262,7 @@ def _cover(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["id", "row", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.mapInArrow(run, "id long, row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(common.lean(run), "id long, row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 200, with_text: bool = False) -> DataFrame:

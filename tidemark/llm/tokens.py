@@ -15,6 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import trim
+
 TAIL = "".join(sorted(".,;:!?*#%&$()[]{}\"-_/\\@+=~^`"))
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 
@@ -142,12 +144,5 @@ def encoder(path: str) -> Encoder:
 
 def release() -> None:
     """Give up a worker's encoders and hand free memory back; for tasks that hold much and encode nothing."""
-    import ctypes
-
-    import pyarrow as pa
-
     encoder.cache_clear()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()

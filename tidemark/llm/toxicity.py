@@ -190,7 +190,7 @@ class Model:
 class Scorer:
     """Margins of words, remembered in two generations of about `limit` words; one for each task, so that workers keep nothing."""
 
-    def __init__(self, model: Model, limit: int = 150_000):
+    def __init__(self, model: Model, limit: int = 100_000):
         self.model, self.limit, self.now, self.old = model, limit, {}, {}
 
     def margins(self, texts: list[str]) -> np.ndarray:
@@ -420,17 +420,11 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None) -> Da
         import pyarrow as pa
 
         scorer = Scorer(shared.value)
-        for batch in batches:
-            texts, out = batch.column(1).to_pylist(), []
-            at, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > 2_000_000 or i == len(texts) - 1:
-                    out.append(scorer.margins(texts[at : i + 1]))
-                    at, size = i + 1, 0
-            p = scorer.model.probability(np.concatenate(out).astype(np.float64)) if out else np.zeros(0)
-            arrays = [batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "predicted", *keep])
+        for whole in batches:
+            for a, b in common.slices(whole.column(1)):
+                batch = whole.slice(a, b - a)
+                p = scorer.model.probability(scorer.margins(batch.column(1).to_pylist()).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *batch.columns[2:]], names=["doc_id", "score", "predicted", *keep])
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)])
-    return asked.mapInArrow(run, "doc_id long, score double, predicted int" + extra)
+    return asked.mapInArrow(common.lean(run), "doc_id long, score double, predicted int" + extra)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import slices
+
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -111,12 +113,5 @@ class Words:
 
 def text_batches(column, most: int = 4 << 20):
     """Slices (from, to, list of bytes) of an Arrow string column, each of few bytes or a single text."""
-    texts = column.cast("binary").to_pylist() if len(column) else []
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > most:
-            yield at, i, texts[at:i]
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts), texts[at:]
+    for a, b in slices(column, most):
+        yield a, b, column.slice(a, b - a).cast("binary").to_pylist()
