@@ -98,3 +98,15 @@ def test_policies_add_dependencies(spark, r):
     assert unproven(m, policies) == {"q": ["users"]}
     with pytest.raises(EngineError, match="UNRESOLVED_RLS_DEPENDENCY"):
         with_policies(spark, compile_manifest({"q": Select("users", ("id",))}, r), r, tables, [Policy("users", "id IN (SELECT id FROM nowhere)")])
+
+
+def test_bodies_of_sql_functions_are_read(spark, r):
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION role_of(k BIGINT) RETURNS STRING RETURN (SELECT max(name) FROM roles WHERE id = k)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION doubled(k BIGINT) RETURNS BIGINT RETURN 2 * k")
+    assert {n: b for n, _, b in reads(spark, r, "SELECT role_of(role_id) AS x FROM users WHERE id = :i", i=1)} == {"roles": (), "users": (("id", "i"),)}
+    assert [b for _, _, b in reads(spark, r, "SELECT id FROM users WHERE id = doubled(:i)", i=1)] == [()]
+
+
+def test_shapes_that_group_bind_nothing(spark, r):
+    assert [b for _, _, b in reads(spark, r, "SELECT id, status, count(*) AS n FROM users GROUP BY CUBE (id, status) HAVING id = :i", i=1)] == [()]
+    assert [x[0] for x in reads(spark, r, "SELECT u.id FROM users u, LATERAL (SELECT max(name) AS m FROM roles WHERE id = u.role_id) x")] == ["roles", "users"]
