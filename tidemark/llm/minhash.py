@@ -154,8 +154,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; links are
     confirmed on full sets, and candidates come from 2 * permutations / rows bands: of 64 bands of 8 values
-    a pair shares none with a probability of 8e-6 at the similarity 0.8, and one with 0.04 at 0.4. The ids
-    whose texts are read again are broadcast if there are at most `small`; more of them meet the texts in a shuffle.
+    a pair shares none with a probability of 8e-6 at the similarity 0.8, and one with 0.04 at 0.4. At
+    most `small` ids whose texts are read again are broadcast, and an eighth as many classes in links and
+    groups of more than one row, which are wider; more meet the rows in a shuffle.
 
     Null and empty texts, and texts without words, have no shingles, stand alone and are kept. Rows of
     equal id are documents of their own, each linked by its text; a null id stays null and is never the
@@ -170,9 +171,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
     found = banded.join(shared, "key")
     member = work.keep(found.join(classes.select("cls", "doc_id", "n", F.expr("n - aggregate(marks, 0L, (s, m) -> s + bit_count(m))").alias("spare"), *(F.col("marks")[i].alias(b) for i, b in enumerate(BITS))), "cls"), "members")
 
-    wanted = work.keep(member.select("doc_id").distinct().select(F.col("doc_id").alias("w")), "wanted")
-    if wanted.count() <= small:
-        wanted = F.broadcast(wanted)
+    def bounded(table: DataFrame, rows: int) -> DataFrame:
+        """A written table, broadcast if it has at most so many rows, so that no group's rows need to meet for it."""
+        return F.broadcast(table) if table.count() <= rows else table
+
+    wanted = bounded(work.keep(member.select("doc_id").distinct().select(F.col("doc_id").alias("w")), "wanted"), small)
     sources = common.texts(docs)
     sets = full_sets(sources.join(wanted, sources["doc_id"].eqNullSafe(wanted["w"]), "left_semi"), shingle=shingle)
     sets = work.keep(sets, "sets")
@@ -204,10 +207,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
 
     ends = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     final = work.keep(graph.components(ends.unionByName(second), work), "final")
-    reach = signed.select("doc_id", "row_hash", "n_shingles", "cls").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    reach = signed.select("doc_id", "row_hash", "n_shingles", "cls").join(bounded(final.withColumnRenamed("node", "cls"), small // 8), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
-    smallest = reach.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), *([F.min(row).alias("row")] if by_row else []))
-    found = reach.join(smallest, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    groups = reach.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.min(row).alias("row"), F.count("*").alias("rows"))
+    groups = work.keep(groups.filter("rows > 1").drop("rows"), "groups")
+    found = reach.join(bounded(groups, small // 8), "label", "left").withColumn("component_id", F.when(F.col("row").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()).alias("kept")
-    more = ["row_hash", (F.col("label").isNull() | (row == F.col("row"))).alias("first")] if by_row else []
+    more = ["row_hash", (F.col("row").isNull() | (row == F.col("row"))).alias("first")] if by_row else []
     return found.select("doc_id", "n_shingles", "component_id", kept, *more)
