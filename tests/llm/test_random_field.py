@@ -61,3 +61,19 @@ def test_patterns(text, spans):
 
 def test_the_shape_of_a_long_word_has_its_end():
     assert pii.shape("a" * 100 + "7") == "xd" and pii.shape("a" * 100) == "x"
+
+
+def test_workers_keep_no_words_after_a_task(spark):
+    texts = [(i, " ".join(f"w{i}-{k}@x" for k in range(50))) for i in range(200)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert pii.find(table).count() == 200
+
+    def held(batches):
+        import pyarrow as pa
+
+        from tidemark.llm import pii
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [pii.word_features.cache_info().currsize]}, schema=pa.schema([("n", pa.int64())]))
+
+    assert {r.n for r in spark.range(0, 400, 1, 4).mapInArrow(held, "n long").collect()} == {0}

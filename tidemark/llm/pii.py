@@ -374,6 +374,7 @@ def find(docs: DataFrame, *, field: Field | None = None, keep: list[str] | None
                     arrays.append(pa.array(clean, pa.string()))
                     names.append("redacted")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        word_features.cache_clear()  # workers stay, for other operators too
 
     return asked.mapInArrow(common.lean(run), FOUND + extra)
 
