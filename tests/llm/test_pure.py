@@ -20,6 +20,31 @@ def test_chunked_encoding_is_exact(name):
     assert all(e.ids(t).tolist() == e.full(t) for t in odd)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_are_encoded_together_as_each_alone(name):
+    e, r = Encoder(default_path(name), limit=50), random.Random(3)
+    odd = ["", " ", "a", "a  b", "a\tb", "\n\nx\n", "\nx", "x \ny", "x\n y", "end ", "end\n", "One two, two.\nTwo two... (two) two", "don't it's 日本 語 İx", "é, è. ñ! ÀB\nÇ", "a <|endoftext|> b<", "x" * 5000]
+    odd += ["".join(r.choice("aBé  .,\n'-1<|") for _ in range(r.randint(1, 40))) for _ in range(500)]
+    odd += [" ".join(r.choice(["the", "The", "a,", "b.", "\nc", "日", "x1", "é!"]) for _ in range(60)) for _ in range(50)]
+    for k in range(0, len(odd), 97):
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode_all(odd[k : k + 97])] == [e.full(t) for t in odd[k : k + 97]]
+    assert len(e) <= 50 and len(e.old) <= 50
+    assert e.encode_all([]) == []
+
+
+def test_words_are_encoded_once_for_texts_together_and_rare_ones_not_kept(monkeypatch):
+    e, asked = Encoder(default_path("byte_bpe_50k.json")), []
+    plain = e.plain
+    monkeypatch.setattr(e, "plain", lambda word: asked.append(word) or plain(word))
+    rare = [f"rare{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    texts = [f"x common {w}, common" for w in rare]
+    e.encode_all(texts)
+    assert sorted(asked) == sorted([*rare, "common"])
+    assert set(e) == {"common"} and not e.old
+    e.encode_all(texts)
+    assert asked.count("common") == 1
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 @pytest.mark.parametrize("dtype", ["<u2", "<u4"])
 def test_token_file_round_trip(planes, dtype):

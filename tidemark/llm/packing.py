@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
+#: Bytes of text that are encoded together, where batches are as large: the more, the more words they share.
+SLICE = 8 << 20
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
@@ -72,8 +74,8 @@ def encode_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             held = 0
-            for doc_id, text in ((i, t) for a, b in common.slices(batch.column(1)) for i, t in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True)):
-                ids, at = enc.encode(text) + end, 0
+            for doc_id, coded in ((i, x) for a, b in common.slices(batch.column(1), SLICE) for i, x in zip(batch.column(0).slice(a, b - a).to_pylist(), enc.encode_all(batch.column(1).slice(a, b - a).to_pylist()), strict=True)):
+                ids, at = coded + end, 0
                 for k, n in enumerate(cut(len(ids) // size, capacity)):
                     for column, v in zip(rows, (doc_id, k, at, n, ids[size * at : size * (at + n)]), strict=True):
                         column.append(v)

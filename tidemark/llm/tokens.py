@@ -132,6 +132,69 @@ class Encoder(dict):
             return b"".join(out)
         return self.chunk(chunks[0], "") + b"".join(map(self.__getitem__, chunks[1:]))
 
+    def several(self, chunks: list[str], often: list[bool]) -> list[bytes]:
+        """ids of distinct chunks behind spaces; remembered are words without their tails, and only those met often or again.
+
+        Most distinct words of a corpus stand there once, and would push out those that come back.
+        """
+        out, get = [], self.get
+        for chunk, many in zip(chunks, often, strict=True):
+            ids = get(chunk)
+            if ids is None:
+                core = chunk if chunk.isalpha() else chunk.rstrip(TAIL)
+                one_word = core.isalpha() and (core.isascii() or max(core) < "Ā")
+                key = core if one_word else chunk
+                ids = get(key)
+                if ids is None:
+                    ids = self.old.get(key)
+                    again = ids is not None
+                    if not again:
+                        ids = self.plain(core) if one_word else self.chunk(chunk[1:], "\n") if chunk[0] == "\n" else self.chunk(chunk, " ")
+                    if many or again:
+                        if len(self) >= self.limit:
+                            self.old = dict(self)
+                            self.clear()
+                        self[key] = ids
+                if one_word and len(core) < len(chunk):
+                    ids += self.piece(chunk[len(core) :])
+            out.append(ids)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode of every text; what the texts share is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out, own, flat = [b""] * len(texts), [], []
+        for k, text in enumerate(texts):
+            spaced = text.replace("\n", " \n")
+            if self.kind == "any" or not text or spaced[0] == " " or spaced[-1] in " \n" or "  " in spaced or "\n " in spaced or not text.replace("\n", "").isprintable():
+                out[k] = self.encode(text)
+            else:
+                own.append(k)
+                flat.append(spaced)
+        if not own:
+            return out
+        split = pc.split_pattern(pa.array(flat, pa.large_string()), " ")
+        del flat
+        first, chunks = split.offsets.to_numpy(), split.values
+        inner = np.ones(len(chunks), bool)
+        inner[first[:-1]] = False
+        heads = chunks.take(pa.array(first[:-1])).to_pylist()
+        rest = chunks.filter(pa.array(inner)).dictionary_encode()
+        at = np.empty(len(inner), np.int32)
+        at[inner] = rest.indices.to_numpy()
+        words = rest.dictionary.to_pylist()
+        del split, chunks, rest
+        coded = self.several(words, (np.bincount(at[inner], minlength=len(words)) > 1).tolist()) + [self.chunk(h, "") for h in heads]
+        at[first[:-1]] = np.arange(len(words), len(coded), dtype=np.int32)
+        ids = pa.array(coded, pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[first].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        for k, a, b in zip(own, ends[:-1], ends[1:], strict=True):
+            out[k] = bytes(raw[a:b])
+        return out
+
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode(text), self.dtype)
 
