@@ -77,3 +77,13 @@ def test_workers_keep_no_words_after_a_task(spark):
             yield pa.RecordBatch.from_pydict({"n": [pii.word_features.cache_info().currsize]}, schema=pa.schema([("n", pa.int64())]))
 
     assert {r.n for r in spark.range(0, 400, 1, 4).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_few_words_features_are_held_and_all_are_scored():
+    words = [f"w{i}@x" for i in range(30_000)]
+    types = pii.Types(pii.default_field())
+    pii.word_features.cache_clear()
+    scores = types.scores(words)
+    assert len(scores) == 30_000 and 0 < pii.word_features.cache_info().currsize <= 20_000
+    assert np.array_equal(types.scores(words[:50]), pii.Types(pii.default_field()).scores(words[:50]))
+    pii.word_features.cache_clear()

@@ -156,6 +156,17 @@ def test_op10_packs_unit_by_unit(spark, docs, library):
         check_packing([tuple(r) for r in got], docs, lambda t: library["byte_bpe_50k.json"].encode(t, add_special_tokens=False).ids, 300)
 
 
+def test_packing_in_small_slices_is_whole(spark, docs, library, monkeypatch):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    table, asked, pack = spark.read.parquet(f"{SF}/documents.parquet"), [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda docs, **given: asked.append(given) or pack(docs, **{**given, "slice_bytes": 5_000}))
+    out = corpus_pipeline.pack_sequences(spark, table, SF).select("doc_id", "piece", "start", "length", F.crc32("ids"), "sequence_id", "offset")
+    check_packing([tuple(r) for r in out.collect()], docs, lambda t: library["byte_bpe_50k.json"].encode(t, add_special_tokens=False).ids, 2048)
+    assert asked[0]["slice_bytes"] <= 2 << 20
+
+
 def test_op2_follows_the_contract(spark, docs):
     got = rows(spark, "op2_string_kernel_toxicity")
     assert set(got) == set(docs)

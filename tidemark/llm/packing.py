@@ -17,10 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .tokens import SLICE
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-#: Bytes of text that are encoded together, where batches are as large: the more, the more words they share.
-SLICE = 8 << 20
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
@@ -60,8 +59,11 @@ def match_and_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nd
     return bins, offsets
 
 
-def encode_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """Every whole text's ids with `end_id` after them, cut; ids are little-endian and as wide as the vocabulary needs, 16 or 32 bits."""
+def encode_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, slice_bytes: int = SLICE) -> DataFrame:
+    """Every whole text's ids with `end_id` after them, cut; ids are little-endian and as wide as the vocabulary needs, 16 or 32 bits.
+
+    slice_bytes: of text that are encoded together, within a batch; a longer text goes by itself.
+    """
 
     def encode(batches):
         import pyarrow as pa
@@ -74,7 +76,7 @@ def encode_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             held = 0
-            for doc_id, coded in ((i, x) for a, b in common.slices(batch.column(1), SLICE) for i, x in zip(batch.column(0).slice(a, b - a).to_pylist(), enc.encode_all(batch.column(1).slice(a, b - a).to_pylist()), strict=True)):
+            for doc_id, coded in ((i, x) for a, b in common.slices(batch.column(1), slice_bytes) for i, x in zip(batch.column(0).slice(a, b - a).to_pylist(), enc.encode_all(batch.column(1).slice(a, b - a).to_pylist()), strict=True)):
                 ids, at = coded + end, 0
                 for k, n in enumerate(cut(len(ids) // size, capacity)):
                     for column, v in zip(rows, (doc_id, k, at, n, ids[size * at : size * (at + n)]), strict=True):
@@ -120,7 +122,7 @@ def widened(ids, lengths: np.ndarray):
     return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(4 * offsets), pa.py_buffer(wide)])
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 2048, unit_docs: int = 8192, unit_bytes: int = 24 << 20, most_tasks: int = 65_536) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 2048, unit_docs: int = 8192, unit_bytes: int = 24 << 20, most_tasks: int = 65_536, slice_bytes: int = SLICE) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids, sequence_id, offset; sequences hold at most `capacity` ids.
 
     Null and empty texts are packed as the end id alone; repeated rows are packed as often as they
@@ -128,6 +130,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 20
     holds it and its ids. unit_docs and unit_bytes bound on average what is packed and held at a time (in
     documents, and in bytes of text); the result is whole at any value. There is a task for every unit, up
     to `most_tasks`; beyond that a task sorts its rows by unit and packs one unit after another.
+    slice_bytes bounds the text that is encoded together: less of it takes less memory and more time.
     """
     texts = common.texts(docs)
     size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
@@ -154,7 +157,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 20
                 part = part.append_column("sequence_id", pa.array((int(unit) << 40) + bins[k : k + 1024])).append_column("offset", pa.array(offsets[k : k + 1024]))
                 yield from part.to_batches()
 
-    pieces = encode_pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity)
+    pieces = encode_pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity, slice_bytes=slice_bytes)
     dealt = pieces.select(*pieces.columns, F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(units)).alias("unit"))
     dealt = dealt.repartitionById(tasks, F.pmod("unit", F.lit(tasks)).cast("int"))
     if tasks < units:

@@ -81,7 +81,7 @@ def _bucket(n: int) -> int:
     return next((i for i, b in enumerate((0, 2, 4, 8, 11, 19)) if n <= b), 6)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)  # half a KB each; `Types` remembers a text's frequent words by itself
 def word_features(word: str) -> tuple[str, ...]:
     digits = sum("0" <= c <= "9" for c in word)
     s = shape(word.strip(".,;:!?"))

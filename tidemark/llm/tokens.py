@@ -17,6 +17,8 @@ import numpy as np
 
 from .common import trim
 
+#: Bytes of text that are encoded together, where batches are as large: the more, the more words they share.
+SLICE = 8 << 20
 TAIL = "".join(sorted(".,;:!?*#%&$()[]{}\"-_/\\@+=~^`"))
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 
