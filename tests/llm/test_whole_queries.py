@@ -66,6 +66,30 @@ def test_op6_numbers_every_id(spark, docs, library):
         at += len(ids)
 
 
+def test_op6_encodes_texts_together_and_keeps_no_rare_words(spark, library):
+    from tidemark.llm import token_files
+
+    rare = [a + b + c for a in "bcdfgh" for b in "xqzjkvw" for c in "bcdfghjk"]
+    texts = {i: f"x often xq{w}v, often" for i, w in enumerate(rare)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in token_files.token_files(table, tokenizer=default_path("word_bpe_49k.json")).collect()}
+    for i, t in texts.items():
+        ids = library["word_bpe_49k.json"].encode(t, add_special_tokens=False).ids + [2]
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+    def held(batches):
+        import pyarrow as pa
+
+        from tidemark.llm import tokens
+
+        enc = tokens.encoder(path)
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(w.rstrip(",")[2:-1] in known for w in enc)]}, schema=pa.schema([("n", pa.int64())]))
+
+    path, known = default_path("word_bpe_49k.json"), set(rare)
+    assert {r.n for r in spark.range(0, 400, 1, 4).mapInArrow(held, "n long").collect()} == {0}
+
+
 LUHN = {str(d): [d, sum(map(int, str(2 * d)))] for d in range(10)}
 
 

@@ -142,7 +142,7 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: i
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .tokens import encoder
+        from .tokens import SLICE, encoder
 
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         path, n = f"{folder}/ids-{shard:06d}.bin", [0, 0]
@@ -154,9 +154,11 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: i
             w = Writer(out, enc.dtype, block, planes, level)
             end = np.array([end_id], enc.dtype).tobytes()
             for batch in (b for part in ([first], batches) for b in part):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    w.add(doc_id, np.frombuffer(enc.encode(text) + end, enc.dtype))
-                    n[0] += 1
+                for a, b in common.slices(batch.column(1), SLICE):
+                    part = batch.slice(a, b - a)
+                    for doc_id, coded in zip(part.column(0).to_pylist(), enc.encode_all(part.column(1).to_pylist()), strict=True):
+                        w.add(doc_id, np.frombuffer(coded + end, enc.dtype))
+                    n[0] += len(part)
             w.close()
             n[1] = w.total
 
@@ -164,7 +166,7 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: i
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "n_docs": n[0], "n_ids": n[1]}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     ordered = common.texts(docs).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(encode, MANIFEST)
+    return ordered.mapInArrow(common.lean(encode), MANIFEST)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
