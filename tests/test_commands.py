@@ -276,6 +276,20 @@ def test_subsumption_compares_by_inputs(spark):
     assert {(r.target, r.alternative) for r in rows} == {("global", "a=1"), ("global", "a=2&b=2"), ("caller", "a=1&b=2"), ("global", "c=1&d=1")}
 
 
+def test_rows_of_one_endpoint_stay_in_many_tasks(spark):
+    empty = F.create_map().cast("map<string,string>")
+    f = spark.range(0, 40000, 1, 4).select(F.lit("f").alias("fact"), F.lit("r").alias("resource"), F.lit("e").alias("endpoint"), F.lit("after").alias("side"), F.lit("matched").alias("reason"), F.lit("global").alias("target"), F.create_map(F.lit("a"), F.col("id").cast("string")).alias("alternative"), F.lit(False).alias("reduced"))
+    f = f.unionByName(f.limit(1).withColumns({"endpoint": F.lit("w"), "alternative": empty}))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = calculus.impact(f, ["e", "w", "gone", "calm"], limits=UNBOUNDED, unavailable=["gone"])
+        assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 20000
+        assert sorted(map(tuple, out.filter("endpoint <> 'e'").collect())) == [("calm", "verified", "", None, "none", None, None, None), ("gone", "unavailable", "", None, "none", None, None, None), ("w", "verified", "", "global", "all", None, None, None)]
+        assert out.filter("endpoint = 'e' and status = 'verified' and selector = 'inputs'").select("value").distinct().count() == 40000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_an_impact_scans_a_written_table_once(spark, tables, tmp_path):
     tables["orders"].write.parquet(str(tmp_path / "orders"))
     stored = tables | {"orders": spark.read.parquet(str(tmp_path / "orders"))}
