@@ -290,6 +290,30 @@ def test_rows_of_one_endpoint_stay_in_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_no_join_deals_rows_out_by_endpoint(spark):
+    import re
+
+    f = spark.createDataFrame([("f", "r", e, "after", "matched", "global", a, False) for e, a in (("e", {"a": "1"}), ("e", {"a": "1", "b": "2"}), ("e", {"a": "2", "b": "2"}), ("plain", {"a": "1"}))], "fact string, resource string, endpoint string, side string, reason string, target string, alternative map<string,string>, reduced boolean")
+    given_ = spark.createDataFrame([("e", "n", {"a": "1"}), ("plain", "n", {"a": "2"})], "endpoint string, name string, values map<string,string>")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(was, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        out = calculus.impact(f, ["e", "plain", "calm"], limits=UNBOUNDED)
+        stored = spark.createDataFrame(out.collect(), calculus.IMPACT)
+        plain = calculus.impact(f.filter("endpoint = 'plain'"), ["plain"], limits=UNBOUNDED)
+        each = calculus.minimal(calculus.alternatives(f))
+        for df in (each, calculus.matching(stored, given_)):
+            keys = [set(re.findall(r"(\w+)#", k)) for k in re.findall(r"SortMergeJoin \[(.*?)\], \[", df._jdf.queryExecution().executedPlan().toString())]
+            assert not [k for k in keys if k <= {"endpoint", "target", "shape", "present"}], keys
+        assert not re.search(r"Join \[endpoint#\d+, target#\d+, a#", plain._jdf.queryExecution().executedPlan().toString())
+        assert {(r.endpoint, r.alternative) for r in out.collect()} == {("e", "a=1"), ("e", "a=2&b=2"), ("plain", "a=1"), ("calm", None)}
+        assert {(r.endpoint, r.name) for r in calculus.matching(stored, given_).collect()} == {("e", "n")}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_an_impact_scans_a_written_table_once(spark, tables, tmp_path):
     tables["orders"].write.parquet(str(tmp_path / "orders"))
     stored = tables | {"orders": spark.read.parquet(str(tmp_path / "orders"))}
